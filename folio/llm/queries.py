@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id, quality, toxicity
+from .common import bucket, table
+from .decontaminate import find_leaks
+from .html_text import extract_pages
 from .mixing import mix_report
+from .near_duplicates import near_report
 from .url_filter import judge_urls
 from .warc import round_trip
 
@@ -15,6 +20,55 @@ from .warc import round_trip
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+#: Chain of the toxicity query: words that mark insults of a person and contempt (fixed values), then the labelled category.
+INSULTS = "idiot moron loser clown scum"
+CONTEMPT = "stupid worthless pathetic disgusting trash"
+QUALITY_CUT = 0.3
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
+def toxicity_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id with the chain's 0/1 categories; the first two are weak labels inside the labelled one."""
+    named = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    says = lambda words: F.col("text").rlike(rf"(?i)\b(?:{words.replace(' ', '|')})\b")
+    weak = lambda words: F.when((F.col("toxic") == 1) & F.coalesce(says(words), F.lit(False)), 1).otherwise(0)
+    return named.select("doc_id", weak(INSULTS).alias("insult"), weak(CONTEMPT).alias("contempt"), F.col("toxic").alias("toxic"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity_labels(docs, table(spark, sf_dir, "labels")), ["insult", "contempt", "toxic"])
+    return toxicity.predict(docs, chain).drop("text")
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.containment")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = quality.fit(docs, labels.where(~held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -30,8 +84,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
+    "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
