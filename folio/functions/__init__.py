@@ -1,0 +1 @@
+"""Column functions: cleaning, predicates and labelling rules."""

@@ -1,0 +1 @@
+"""Operators on documents, lines, pages and blocks."""

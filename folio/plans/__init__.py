@@ -1,0 +1 @@
+"""Dataflows built from the operators, and the catalogue of queries."""
