@@ -53,7 +53,9 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     Weights repeat over the sources in code-point order, null last. Targets
     fill up by weight to ``share`` of all words and stop at ``most`` times
     their source's size: the level L with sum(min(most * size, L * weight)) =
-    share * total, which resharing the excess until none is above ends in.
+    share * total, which resharing the excess until none is above ends in. Were
+    the k sources that fill first capped, the others would share at some level;
+    the level sought is the largest of these over all k.
     The windows without partition run over the table of sources.
     """
     by_bucket = sizes.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
@@ -70,7 +72,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
         (share * F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after),
     )
     targets = (
-        levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(whole))
+        levels.withColumn("level", F.max("level").over(whole))
         .withColumn("target", F.least((most * F.col("source_size")).cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0))))
         .withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
         .select("source_key", "source_size", "target", "repeats")

@@ -123,7 +123,7 @@ ORACLE_SQL = {
         l AS (SELECT *, CAST((CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE)
                  - 2 * coalesce(sum(source_size) OVER (ORDER BY fill, sk = 'n', sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS DOUBLE)
                  / sum(weight) OVER (ORDER BY fill, sk = 'n', sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-        m AS (SELECT min(level) FILTER (level <= fill) AS level FROM l),
+        m AS (SELECT max(level) AS level FROM l),
         t AS (SELECT sk, source_size, least(CAST(2 * source_size AS DOUBLE), coalesce(m.level * weight, 0)) AS target FROM f, m),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM t),
         k AS (SELECT sk, b, sum(size) AS words FROM d GROUP BY 1, 2),
