@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import language_id, quality, top_k, toxicity
 from .common import bucket, table
 from .decontaminate import find_leaks
 from .html_text import extract_pages
@@ -61,6 +61,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.containment")
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return top_k.search(docs, queries)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op7_decontamination": op7_decontamination,
+    "op8_top_k_search": op8_top_k_search,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
