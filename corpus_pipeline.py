@@ -12,26 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, language_id, mixing, near_duplicates, quality
-from folio.llm.common import bucket, saved, table
+from folio.llm.common import bucket, columns, free, saved, table
 from folio.llm.queries import QUALITY_CUT
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules score below the cut."""
     labels = table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False))))
-    return quality.score(docs, model).where(F.col("score") >= QUALITY_CUT).select(*_columns(docs))
+    score = free(docs, "quality_score")
+    return quality.score(docs, model, score).where(F.col(score) >= QUALITY_CUT).select(*columns(docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language: those without any letter, or without text."""
     known = docs.where(~F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
-    found = language_id.identify(docs, language_id.fit(known))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*_columns(docs))
+    language, score = free(docs, "language_found"), free(docs, "language_score")
+    found = language_id.identify(docs, language_id.fit(known), (language, score))
+    return found.where(F.col(language) != language_id.UNKNOWN).select(*columns(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,11 +75,11 @@ def add_columns(
     texts are. An existing column that has the name of an output is replaced.
     """
     new = [f.name for f in outputs]
-    keep = [c for c in df.columns if c not in new]
+    keep = others(df, new)
     missing = [c for c in inputs if c not in keep]
     if missing:
         raise ValueError(f"columns {missing} are needed as inputs and asked for as outputs")
-    base = df.select(*[F.col(f"`{c}`") for c in keep])
+    base = df.select(*columns(keep))
     schema = T.StructType([*base.schema.fields, *outputs.fields])
     order = {c: keep.index(c) for c in inputs}
 
@@ -87,15 +87,30 @@ def add_columns(
         for batch in batches:
             for part in slices(batch, order[inputs[0]], slice_chars):
                 got = compute(*[part.column(order[c]).to_pylist() for c in inputs])
-                columns = list(part.columns) + [
-                    pa.array(values, type=arrow_type(f.dataType))
-                    for values, f in zip(got, outputs.fields, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=keep + new)
+                made = [pa.array(values, type=arrow_type(f.dataType)) for values, f in zip(got, outputs.fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=keep + new)
 
     return base.mapInArrow(run, schema)
 
 
+def others(df: DataFrame, names: list[str]) -> list[str]:
+    """Columns of ``df`` that none of ``names`` replaces (Spark's names ignore case)."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def columns(names: list[str]) -> list:
+    return [F.col(f"`{c}`") for c in names]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, slice_chars: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the running length of ``column`` passes ``slice_chars``."""
     import numpy as np

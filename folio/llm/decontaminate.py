@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, columns, free
 from .textcode import hash_parameters, minhash, shingle_sets, shingles
 
 HASHES = 64
@@ -138,25 +138,24 @@ def item_blocks(items: DataFrame, threshold: float, most_items: int, most_chars:
         yield ItemIndex.of(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=str), threshold)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, most_items: int = 20_000, most_chars: int = 32_000_000) -> DataFrame:
-    """Add ``leaks``, an array of (item_id, containment), to each row of ``docs``.
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, most_items: int = 20_000, most_chars: int = 32_000_000, name: str = "leaks") -> DataFrame:
+    """Add an array of (item_id, containment) to each row of ``docs``.
 
     Items are broadcast in blocks of about ``most_items`` and ``most_chars``;
     more of them mean more passes of Python over the documents' rows, not more
     memory.
     """
-    name = "leaks"
-    out = docs
+    out, spare = docs, free(docs, name + "_more")
     for number, index in enumerate(item_blocks(items, threshold, most_items, most_chars)):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        column = name if number == 0 else "__leaks"
+        column = name if number == 0 else spare
         out = add_columns(out, ["text"], T.StructType([T.StructField(column, LEAKS)]), lambda texts, shared=shared: [shared.value.leaks(texts)])
         if number:
-            out = out.withColumn(name, F.concat(name, "__leaks")).drop("__leaks")
+            out = out.withColumn(name, F.concat(name, spare)).drop(spare)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents that leak no item."""
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return find_leaks(docs, items, threshold).where(F.size("leaks") == 0).select(*kept)
+    name = free(docs, "leaks")
+    return find_leaks(docs, items, threshold, name=name).where(F.size(name) == 0).select(*columns(docs.columns))

@@ -12,7 +12,8 @@ phrase, so that NumPy can parse all blocks of a batch in step.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Ties go to the language that sorts first. With one learned language the score of
-any text with a letter is 1. Without any learned language all are ``und``.
+any text with a letter is 1. Without any learned language all are ``und``. Extra
+columns pass through; repeated rows get the same result.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from .textcode import flat
 
 BLOCK = 512
 UNKNOWN = "und"
-OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
 
 @cache
 def letter_codes() -> np.ndarray:
@@ -195,7 +194,9 @@ def fit(labelled: DataFrame, sample_chars: int = 24_000, sample_docs: int = 200,
     return LanguageModel(languages, [Automaton.of(np.concatenate([x for p in parts[la] for x in (p, gap)])) for la in languages])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (1 - best cost / second cost) to each row."""
+def identify(docs: DataFrame, model: LanguageModel, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and its score (1 - best cost / second cost) to each row, in
+    place of columns of those names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return add_columns(docs, ["text"], OUTPUT, lambda texts: shared.value.predict(texts))
+    kinds = T.StructType([T.StructField(outputs[0], T.StringType()), T.StructField(outputs[1], T.DoubleType())])
+    return add_columns(docs, ["text"], kinds, lambda texts: shared.value.predict(texts))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import columns, free, others, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -103,13 +103,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` once per copy, with ``copy`` from 0."""
     planned = saved(plan(measured(docs)), "mix-plan")
-    own = {"__source_key": source_key(F.col("source")), "__bucket": hash_bucket(F.col("doc_id"))}
-    kept = [c for c in docs.columns if c != "copy"]
-    named = planned.select(F.col("source_key").alias("__source_key"), F.col("repeats").alias("__repeats"), F.col("cut").alias("__cut"))
-    n = F.col("__repeats") + (F.col("__bucket") < F.col("__cut")).cast("int")
+    key, bucket, repeats, cut = (free(docs, name) for name in ("source_key", "bucket", "repeats", "cut"))
+    named = planned.select(F.col("source_key").alias(key), F.col("repeats").alias(repeats), F.col("cut").alias(cut))
+    n = F.col(repeats) + (F.col(bucket) < F.col(cut)).cast("int")
     return (
-        docs.withColumns(own)
-        .join(named, "__source_key")
+        docs.withColumns({key: source_key(F.col("source")), bucket: hash_bucket(F.col("doc_id"))})
+        .join(named, key)
         .where(n > 0)
-        .select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
+        .select(*columns(others(docs, ["copy"])), F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
     )

@@ -7,7 +7,8 @@ and what is left becomes one Spark column expression over the statistics.
 Defined results: a null text counts as empty; empty texts have all statistics 0
 and get the score that the rules give them. With no labelled rows, or with one
 class only, the score is the share of label 1 (0.5 without rows). Labels that are
-null are not learned from. A doc_id that is labelled twice counts twice.
+null are not learned from. A doc_id that is labelled twice counts twice. Extra
+columns pass through; names that begin with ``__q_`` are reserved.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns, others
+
 STATISTICS = ["chars", "tokens", "token_chars", "symbols", "upper", "digits", "letters", "bars", "distinct", "lines", "stops"]
 
 
@@ -42,7 +45,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(f"__q_{a}").cast("double"), F.col(f"__q_{b}")), F.lit(0.0))
     return raw.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *columns(docs.columns),
         F.col("__q_chars").cast("double").alias("__q_chars"),
         F.col("__q_tokens").cast("double").alias("__q_tokens"),
         share("chars", "tokens").alias("__q_token_chars"),
@@ -182,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     return fit_rules(data[[f"__q_{s}" for s in STATISTICS]].to_numpy(float), data["__label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """Add ``score`` to each row."""
-    kept = [c for c in docs.columns if c != "score"]
-    return statistics(docs.select(*[F.col(f"`{c}`") for c in kept])).select(*[F.col(f"`{c}`") for c in kept], model.column().alias("score"))
+def score(docs: DataFrame, model: RuleModel, output: str = "score") -> DataFrame:
+    """Add the score to each row, in place of a column of that name."""
+    kept = columns(others(docs, [output]))
+    return statistics(docs.select(*kept)).select(*kept, model.column().alias(output))

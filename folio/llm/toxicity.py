@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, saved
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)
@@ -148,8 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: in
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most_rows * scale // n)
     ys = [f"__y_{c}" for c in categories]
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    from .common import saved
-
     sample = saved(sample, "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     used = sample.select(F.explode(features(F.col("text"))).alias("feature"), *ys).groupBy("feature")
