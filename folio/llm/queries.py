@@ -31,17 +31,17 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
-def toxicity_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id with the chain's 0/1 categories; the first two are weak labels inside the labelled one."""
-    named = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+def weak_toxicity(labelled: DataFrame) -> DataFrame:
+    """Add the chain's first categories, weak labels inside the labelled one."""
     says = lambda words: F.col("text").rlike(rf"(?i)\b(?:{words.replace(' ', '|')})\b")
-    weak = lambda words: F.when((F.col("toxic") == 1) & F.coalesce(says(words), F.lit(False)), 1).otherwise(0)
-    return named.select("doc_id", weak(INSULTS).alias("insult"), weak(CONTEMPT).alias("contempt"), F.col("toxic").alias("toxic"))
+    weak = lambda words: ((F.col("toxic") == 1) & says(words)).cast("int")
+    return labelled.withColumns({"insult": weak(INSULTS), "contempt": weak(CONTEMPT)})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.fit(docs, toxicity_labels(docs, table(spark, sf_dir, "labels")), ["insult", "contempt", "toxic"])
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    chain = toxicity.fit(docs, labels, ["insult", "contempt", "toxic"], weak_toxicity)
     return toxicity.predict(docs, chain).drop("text")
 
 

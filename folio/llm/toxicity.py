@@ -15,6 +15,7 @@ pass through.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -134,21 +135,33 @@ def features(text):
     return F.array_distinct(F.concat(words, *stems))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: int = 8_000, most_features: int = 1_500) -> ToxicityChain:
-    """Learn a chain over ``categories`` (0/1 columns of ``labels``, in chain order).
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: list[str],
+    derive: Callable[[DataFrame], DataFrame] | None = None,
+    most_rows: int = 8_000,
+    most_features: int = 1_500,
+) -> ToxicityChain:
+    """Learn a chain over ``categories``, in chain order.
+
+    Categories are 0/1 columns of ``labels``, or columns that ``derive`` adds to
+    the labelled rows (which then have text and labels).
 
     At most about ``most_rows`` labelled rows, drawn by a hash of doc_id, are
     learned from (being bounded they may be broadcast and collected as feature
     numbers), and ``most_features`` words or beginnings.
     """
-    known = labels.dropna(subset=["doc_id", *categories]).select("doc_id", *[F.col(c).cast("double").alias(f"__y_{c}") for c in categories])
+    given = [c for c in labels.columns if c != "doc_id" and (derive or c in categories)]
+    known = labels.select("doc_id", *given).dropna()
     n = known.count()
     if n > most_rows:
         scale = 1 << 30
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most_rows * scale // n)
     ys = [f"__y_{c}" for c in categories]
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    sample = saved(sample, "toxicity-sample")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = derive(rows) if derive else rows
+    sample = saved(rows.select("doc_id", "text", *[F.col(c).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)]), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     used = sample.select(F.explode(features(F.col("text"))).alias("feature"), *ys).groupBy("feature")
     used = used.agg(F.count("*").alias("df"), *[F.sum(y).alias(y) for y in ys]).where("df >= 4")
@@ -171,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: in
     count = len(data)
     columns = np.array([f for r in data for f in r[-1]], np.int64)
     rows = np.repeat(np.arange(count), [len(r[-1]) for r in data]) if count else np.zeros(0, np.int64)
-    fold = np.arange(count) % FOLDS
+    fold = np.random.default_rng(0).permutation(count) % FOLDS
     earlier = np.zeros((count, 0))
     models, thresholds = [], []
     for j in range(len(categories)):
