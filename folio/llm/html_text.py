@@ -1,9 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 A tolerant tokenizer builds the tree of block elements. Each paragraph earns
-points for its length and its commas and passes them to its ancestors (all to
-the first, half to the second, a third to the third, and so on), and each
-element's sum is discounted by the share of its text that lies in links. The
+points for its length and its commas and passes them to the containers around it
+(all to the first, half to the second, a third to the third, and so on; lists,
+tables and their parts are no containers), and each element's sum is discounted by the share of its text that lies in links. The
 best element and its good siblings are kept; within them, menus, page headers,
 footers, sidebars, notices, adverts, forms and comments are left out wherever
 the tag, role, class or id names them.
@@ -27,6 +27,9 @@ from .common import add_columns
 
 OUTPUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
+#: Elements that hold text for the container around them.
+INNER = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption table ul ol dl figure figcaption".split())
+
 # The tags of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math".split())
@@ -244,13 +247,14 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], blocks: list[
     for element, text, linked in blocks:
         # Text directly in a container counts as a paragraph of it.
         own = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
-        up = element if tags[element] not in ("p", "pre", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") else parent[element]
+        up = element
         chars[element] += len(text)
         links[element] += linked
         share = 1
         while up >= 0:
-            points[up] += own / share
-            share += 1
+            if tags[up] not in INNER:
+                points[up] += own / share
+                share += 1
             up = parent[up]
     for i in range(n - 1, 0, -1):  # children come after their parents
         chars[parent[i]] += chars[i]
@@ -266,7 +270,7 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], blocks: list[
             break
         lifted = parent[lifted]
     keep = [False] * n
-    least = max(10.0, 0.2 * score[best])
+    least = 0.2 * score[best]
     for i in range(1, n):
         if parent[i] == parent[best] and i != best:
             if tags[i] in ("p", "h1", "h2", "pre", "blockquote"):
