@@ -69,35 +69,53 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def fit_linear(rows, columns, n: int, width: int, earlier: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 150) -> Linear:
-    """Logistic regression by accelerated gradient steps with per-feature scales."""
+def fit_linear(rows, columns, n: int, width: int, earlier: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 15) -> Linear:
+    """Logistic regression by Newton steps, each solved by conjugate gradients."""
     total = width + earlier.shape[1]
     mean = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    base = float(np.log(mean / (1 - mean)))
+    start = float(np.log(mean / (1 - mean)))
     if not n or y.min() == y.max():
-        return Linear(np.zeros(total), base)
-    scale = np.concatenate([np.bincount(columns, minlength=width) / n, np.full(earlier.shape[1], 0.25)])
-    per_row = max(1.0, np.bincount(rows, minlength=n).max() if len(rows) else 1.0)
-    rate = np.minimum(4.0 / (scale * min(per_row, 30) + ridge + 1e-3), 400.0)
-    w, b, v, c, t = np.zeros(total), base, np.zeros(total), base, 1.0
+        return Linear(np.zeros(total), start)
     centred = earlier - 0.5
-    best = (np.inf, w, b)
+    penalty = np.append(np.full(total, ridge), 1e-9)  # the intercept stays free
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, v[columns], n) + centred @ v[width:total] + v[total]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(columns, u[rows], width), centred.T @ u, [u.sum()]])
+
+    def loss(v: np.ndarray, margin: np.ndarray) -> float:
+        return float((np.logaddexp(0, margin) - y * margin).mean() + (penalty * v * v).sum() / 2)
+
+    w = np.append(np.zeros(total), start)
+    margin = times(w)
+    now = loss(w, margin)
     for _ in range(steps):
-        margin = c + np.bincount(rows, v[columns], n) + centred @ v[width:]
         p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        loss = -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).mean() + ridge * (v @ v) / 2
-        if loss < best[0]:
-            best = (loss, v.copy(), c)
-        elif loss > 1.5 * best[0]:  # too fast: begin again from the best point, slower
-            rate, v, c, w, b, t = rate / 2, best[1].copy(), best[2], best[1].copy(), best[2], 1.0
-            continue
-        err = (p - y) / n
-        gradient = np.concatenate([np.bincount(columns, err[rows], width), centred.T @ err]) + ridge * v
-        w2, b2 = v - rate * gradient, c - 2.0 * err.sum()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
-        w, b, t = w2, b2, t2
-    return Linear(best[1], float(best[2]))
+        slope = back((p - y) / n) + penalty * w
+        curve = p * (1 - p) / n
+        inverse = 1 / (np.concatenate([np.bincount(columns, curve[rows], width), (centred**2).T @ curve, [curve.sum()]]) + penalty)
+        move, left = np.zeros(total + 1), -slope
+        ready = inverse * left
+        way, size = ready, left @ ready
+        for _ in range(30):
+            bent = back(curve * times(way)) + penalty * way
+            step = size / (way @ bent)
+            move, left = move + step * way, left - step * bent
+            ready = inverse * left
+            before, size = size, left @ ready
+            if size < 1e-4 * abs(slope @ (inverse * slope)):
+                break
+            way = ready + size / before * way
+        shift, factor = times(move), 1.0
+        while factor > 1e-3 and loss(w + factor * move, margin + factor * shift) > now:
+            factor /= 2
+        w, margin = w + factor * move, margin + factor * shift
+        before, now = now, loss(w, margin)
+        if before - now < 1e-7:
+            break
+    return Linear(w[:total], float(w[total]))
 
 
 @dataclass
