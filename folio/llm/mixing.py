@@ -4,9 +4,10 @@ Words per source give a target per source; target over size is the source's
 repetition rate. A document is emitted ``floor(rate)`` times, plus one copy
 drawn by a hash of its doc_id: the copy is taken if the document's hash bucket
 lies below the source's cut. The cut is the fraction of the rate, corrected for
-what the source's documents really drew, so that the words taken meet the
-target to within one hash bucket (a 4096th of a large source, about one document
-of a small one) even where independent draws would scatter.
+what the source's documents really drew; what is missing then is less than one
+of 4096 hash buckets, and the bucket beyond the cut that fills it best is taken
+too. So the words taken come near the target even in sources of few documents,
+where independent draws scatter.
 
 Defined results: a null or empty text has size 0 and is emitted like any other.
 A null source is a source of its own, sorted last. Rows that repeat a doc_id
@@ -48,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """One row per source: ``source_key, source_size, target, repeats, cut``.
+    """One row per source: ``source_key, source_size, target, repeats, cut, extra``.
 
     Weights repeat over the sources in code-point order, null last. Targets
     fill up by weight to ``share`` of all words and stop at ``most`` times
@@ -78,20 +79,26 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
         .select("source_key", "source_size", "target", "repeats")
     )
     running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        by_bucket.join(targets, "source_key")
+    summed = (
+        by_bucket.where("words > 0")
+        .join(targets, "source_key")
+        .withColumn("wanted", F.col("target") - F.col("repeats") * F.col("source_size"))
         .withColumn("sum", F.sum("words").over(running))
-        # A bucket is taken if that brings the sum nearer to what is still wanted.
-        .where((F.col("words") > 0) & (F.col("sum") - F.col("words") / 2 <= F.col("target") - F.col("repeats") * F.col("source_size")))
-        .groupBy("source_key")
-        .agg((F.max("bucket") + 1).alias("cut"))
+        .withColumn("below", F.col("sum") <= F.col("wanted"))
+        .withColumn("gap", F.col("wanted") - F.coalesce(F.max(F.when(F.col("below"), F.col("sum"))).over(Window.partitionBy("source_key")), F.lit(0)))
     )
-    return targets.join(cuts, "source_key", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    fits = ~F.col("below") & (F.abs(F.col("gap") - F.col("words")) < F.col("gap"))
+    cuts = summed.groupBy("source_key").agg(
+        F.coalesce(F.max(F.when(F.col("below"), F.col("bucket"))) + 1, F.lit(0)).alias("cut"),
+        F.coalesce(F.min(F.when(fits, F.struct(F.abs(F.col("gap") - F.col("words")), "bucket")))["bucket"], F.lit(-1)).alias("extra"),
+    )
+    named = {"cut": F.coalesce("cut", F.lit(0)), "extra": F.coalesce("extra", F.lit(-1))}
+    return targets.join(cuts, "source_key", "left").withColumns(named)
 
 
-def copies():
-    """Copies of a document that has ``bucket`` and its source's plan."""
-    return F.col("repeats") + (F.col("bucket") < F.col("cut")).cast("int")
+def copies(bucket: str = "bucket", repeats: str = "repeats", cut: str = "cut", extra: str = "extra"):
+    """Copies of a document that has its bucket and its source's plan in these columns."""
+    return F.col(repeats) + ((F.col(bucket) < F.col(cut)) | (F.col(bucket) == F.col(extra))).cast("int")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -103,9 +110,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` once per copy, with ``copy`` from 0."""
     planned = saved(plan(measured(docs)), "mix-plan")
-    key, bucket, repeats, cut = (free(docs, name) for name in ("source_key", "bucket", "repeats", "cut"))
-    named = planned.select(F.col("source_key").alias(key), F.col("repeats").alias(repeats), F.col("cut").alias(cut))
-    n = F.col(repeats) + (F.col(bucket) < F.col(cut)).cast("int")
+    key, bucket, repeats, cut, extra = (free(docs, name) for name in ("source_key", "bucket", "repeats", "cut", "extra"))
+    named = planned.select(F.col("source_key").alias(key), F.col("repeats").alias(repeats), F.col("cut").alias(cut), F.col("extra").alias(extra))
+    n = copies(bucket, repeats, cut, extra)
     return (
         docs.withColumns({key: source_key(F.col("source")), bucket: hash_bucket(F.col("doc_id"))})
         .join(named, key)

@@ -133,11 +133,12 @@ ORACLE_SQL = {
         m AS (SELECT max(level) AS level FROM l),
         t AS (SELECT sk, source_size, least(CAST(2 * source_size AS DOUBLE), coalesce(m.level * weight, 0)) AS target FROM f, m),
         r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM t),
-        k AS (SELECT sk, b, sum(size) AS words FROM d GROUP BY 1, 2),
-        c AS (SELECT sk, b, words, sum(words) OVER (PARTITION BY sk ORDER BY b) AS total FROM k),
-        x AS (SELECT c.sk, max(b) + 1 AS cut FROM c JOIN r ON c.sk = r.sk
-              WHERE words > 0 AND total - words / 2 <= target - repeats * source_size GROUP BY 1)
+        k AS (SELECT sk, b, sum(size) AS words FROM d GROUP BY 1, 2 HAVING sum(size) > 0),
+        c AS (SELECT k.sk, b, words, target - repeats * source_size AS wanted, sum(words) OVER (PARTITION BY k.sk ORDER BY b) AS total FROM k JOIN r ON k.sk = r.sk),
+        g AS (SELECT *, wanted - coalesce(max(total) FILTER (total <= wanted) OVER (PARTITION BY sk), 0) AS gap FROM c),
+        x AS (SELECT sk, coalesce(max(b) FILTER (total <= wanted) + 1, 0) AS cut,
+                     arg_min(b, (abs(gap - words), b)) FILTER (total > wanted AND abs(gap - words) < gap) AS extra FROM g GROUP BY 1)
         SELECT doc_id, size, source_size, target,
-               CAST(size * (repeats + CASE WHEN b < coalesce(cut, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+               CAST(size * (repeats + CASE WHEN b < coalesce(cut, 0) OR b = extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN r ON d.sk = r.sk LEFT JOIN x ON d.sk = x.sk""",
 }
