@@ -208,15 +208,14 @@ def search_slowly(docs, queries, k):
 
 
 @pytest.mark.parametrize("size", [16_384, 50])
-def test_search_matches_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(top_k, "SHARD_DOCS", size)
+def test_search_matches_brute_force(spark, size):
     often = [f"o{i}" for i in range(12)]
     docs = [(i, prose(int(RNG.integers(5, 40))) + " " + prose(20, often)) for i in range(400)]
     docs += [(500 + i, docs[i][1]) for i in range(30)] + [(600, None), (601, ""), (602, "onlyhere"), (None, docs[0][1]), (603, prose(9_000))]
     queries = [(q, docs[q][1]) for q in (0, 20, 40, 33)] + [(900, "absent"), (901, None), (902, "o1 o2"), (903, "onlyhere o3"), (0, docs[0][1])]
     table = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, score string")
     asked = spark.createDataFrame(queries, "query_id long, text string")
-    rows = top_k.search(table, asked, 10).orderBy("query_id", "rank").collect()
+    rows = top_k.search(table, asked, 10, shard_docs=size).orderBy("query_id", "rank").collect()
     expected = search_slowly(docs, queries, 10)
     for q, best in expected.items():
         mine = [r for r in rows if r["query_id"] == q]
