@@ -68,7 +68,7 @@ def make_record(page_id, url, digest: str, refers_to, payload: bytes) -> bytes:
     return "\r\n".join(lines).encode() + body + b"\r\n\r\n"
 
 
-def gzip_member(data: bytes, level: int = 1) -> bytes:
+def gzip_member(data: bytes, level: int = 6) -> bytes:
     made = zlib.compressobj(level, zlib.DEFLATED, 31)
     return made.compress(data) + made.flush()
 
