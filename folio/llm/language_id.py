@@ -165,30 +165,38 @@ class LanguageModel:
 def fit(labelled: DataFrame, sample_chars: int = 24_000, sample_docs: int = 200, most_languages: int = 64) -> LanguageModel:
     """Learn from ``text, lang`` (and ``doc_id``, which only orders the sample).
 
-    A bounded sample: of each language about ``sample_docs`` rows are drawn by a
-    hash of the text, and of these whole texts are taken until ``sample_chars``
-    letters are reached; a text that alone is longer than that is used only
-    if nothing else is left. At most ``most_languages`` labels are accepted.
+    A bounded sample of texts with a letter: of each language about ``sample_docs``
+    different texts (all, if there are no more) are drawn by a hash of the text,
+    each once however many copies it has, and of these whole texts are taken until
+    ``sample_chars`` letters are reached. What is still missing then comes from the
+    beginnings of longer texts. At most ``most_languages`` labels are accepted.
     """
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    different = known.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in different.limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages are labelled")
     if not counts:
         return LanguageModel([], [])
-    scale = 1 << 30
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(scale, sample_docs * scale // n))).otherwise(share)
-    drawn = known.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(scale))).where((F.col("h") < share) & (F.length("text") <= 4 * sample_chars))
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in drawn.select("lang", "h", "text").collect())
+    last = (1 << 63) - 1
+    share = F.lit(-1).cast("long")
+    for lang, (n, least) in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(last, max(least, sample_docs * last // n))).cast("long")).otherwise(share)
+    begun = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, 4 * sample_chars)
+    drawn = known.where(F.col("h") <= share).select("lang", "h", begun.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = sorted((r["lang"], r["h"], r["text"]) for r in drawn.collect())
     parts: dict[str, list[np.ndarray]] = {}
+    seen: set[tuple[str, bytes]] = set()
     for spare in (False, True):
         for lang, _, text in rows:
-            codes, _ = normalised([text])
             got = sum(map(len, parts.get(lang, [])))
-            if len(codes) and got < sample_chars and (len(codes) <= sample_chars) != spare and not (spare and got):
-                parts.setdefault(lang, []).append(codes)
+            if got >= sample_chars:
+                continue
+            codes, _ = normalised([text])
+            key = (lang, codes.tobytes())
+            if len(codes) and (len(codes) > sample_chars) == spare and key not in seen:
+                seen.add(key)
+                parts.setdefault(lang, []).append(codes[: sample_chars - got] if spare else codes)
     languages = sorted(parts)
     gap = np.array([32], np.uint32)
     return LanguageModel(languages, [Automaton.of(np.concatenate([x for p in parts[la] for x in (p, gap)])) for la in languages])

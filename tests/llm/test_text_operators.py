@@ -85,6 +85,17 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identify(tests, empty).collect()} == {"und"}
 
 
+def test_copies_and_long_texts_are_learned(spark):
+    few = [f"{DE} {w}" for w in ("eins", "zwei", "drei", "vier")]
+    copies = spark.range(20_000).selectExpr("id AS doc_id", "element_at(array(%s), cast(id %% 4 AS int) + 1) AS text" % ", ".join(f"'{t}'" for t in few), "'de' AS lang")
+    rows = [(1, LONG, "en"), (2, "7" * 200_000 + " " + "le chat noir dort sur la table " * 9000, "fr"), (3, "12 !?", "xx")]
+    model = language_id.fit(copies.union(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert model.languages == ["de", "en", "fr"]
+    # Each different text once, with a gap after it; of a long text 24,000 letters.
+    letters = [sum(len(language_id.normalised([t])[0]) + 1 for t in few), 24_001, 24_001]
+    assert [m.bits for m in model.automata] == pytest.approx(np.log2(letters))
+
+
 # --------------------------------------------------------------------- quality
 
 
