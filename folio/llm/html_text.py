@@ -6,7 +6,11 @@ points for its length and its commas and passes them to the containers around it
 tables and their parts are no containers), and each element's sum is discounted by the share of its text that lies in links. The
 best element and its good siblings are kept; within them, menus, page headers,
 footers, sidebars, notices, adverts, forms and comments are left out wherever
-the tag, role, class or id names them.
+the tag, role, class or id names them. What a tag, a role or ``hidden`` names is
+never read. A class or id only lowers the points of what it names, and counts
+when the choice is made: it leaves out no element that has a wanted name too,
+holds the article, or is a layout's wrapper with more than half of the text, and
+nothing at all where otherwise no text, or headings only, would be left.
 
 Defined results: a null or empty page, or one without text, gives "". Character
 references are decoded once; white space inside a block becomes one space; blocks
@@ -57,6 +61,14 @@ UNWANTED = frozenset(
     share sharing social follow comment comments commentlist reply replies respond disqus discussion related
     recommended recommendations widget widgets pager pagination toolbar skip search paywall disclaimer copyright""".split()
 )
+#: Names that also stand on wrappers of a whole page.
+LAYOUT = frozenset("nav navbar navigation menu menus sidebar sidenav aside rail footer foot header masthead topbar banner widget widgets toolbar search overlay modal".split())
+#: First parts of names that tell a state ("no-sidebar", "has-menu"), not what an element is.
+STATES = frozenset("no not has with without hide".split())
+#: Points of text in an element with an unwanted name.
+WEAK = 0.25
+#: Longer text beside headings shows that names alone had left the article out.
+ONLY_NAMED = 200
 HEADERS = frozenset("header masthead banner".split())
 WANTED = frozenset("article content post entry story main body text".split())
 
@@ -67,53 +79,68 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?=[\s=/"']|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+HEADING = re.compile("h[1-6]")
 COMMAS = re.compile("[,،、，;]")
 
 
-def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, float]:
-    """(left out, bonus) of an element by its tag and attributes."""
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, float]:
+    """(left out, named, bonus) of an element by its tag and attributes; named is 1 beside a wanted name, 2 for layout names, 3 for other unwanted ones."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True, 0
+        return True, 0, 0
     bonus = 25.0 if tag in ("article", "main") else -5.0 if tag in ("ul", "ol", "table", "li") else 0.0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, bonus
+        return False, 0, bonus
     parts: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, 0
+            return True, 0, 0
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, 0
+                return True, 0, 0
         elif name == "role":
             if value.lower() in ROLES:
-                return True, 0
+                return True, 0, 0
             bonus += 25 * (value.lower() in ("main", "article"))
         else:
-            parts.update(x.lower() for x in NAME_PART.findall(value))
-    if parts & WANTED:
-        bonus += 25
+            for word in value.split():
+                said = [x.lower() for x in NAME_PART.findall(word)]
+                if said and said[0] not in STATES:
+                    parts.update(said)
+    wanted = bool(parts & WANTED)
     if tag in ("html", "body", "article", "main"):
-        return False, bonus
+        return False, 0, bonus + 25 * wanted
     named = parts & UNWANTED
     if in_article:
         named -= HEADERS
-    return bool(named), bonus
+    if not named:
+        return False, 0, bonus + 25 * wanted
+    return False, 1 if wanted else 2 if named <= LAYOUT else 3, bonus
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    # Elements: parent, tag, bonus, left out. Element 0 is the document.
-    parent, tags, bonus, out = [-1], ["#document"], [0.0], [False]
+    texts, plain = read(page, True)
+    if not plain:
+        again, _ = read(page, False)
+        if not texts or sum(map(len, again)) - sum(map(len, texts)) >= ONLY_NAMED:
+            texts = again
+    return "\n".join(texts)
+
+
+def read(page: str, by_name: bool) -> tuple[list[str], bool]:
+    """The blocks of the main text, and whether any is no heading; classes and ids leave things out only ``by_name``."""
+    # Elements: parent, tag, bonus, left out, named. Element 0 is the document.
+    parent, tags, bonus, out, named = [-1], ["#document"], [0.0], [False], [0]
     stack, at = [0], 0  # open elements; the innermost block of them is ``at``
     inline: list[tuple[str, int]] = []  # open inline elements with the stack depth they opened at
     blocks: list[tuple[int, str, int]] = []  # (element, text, characters in links)
     buffer: list[str] = []
     linked = 0
     in_link = hidden = in_article = 0
-    hidden_inline: list[int] = []
+    hidden_inline: list[tuple[int, bool]] = []  # (open inline elements, left out by name)
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -134,7 +161,7 @@ def extract(page: str | None) -> str:
             name, _ = inline.pop()
             if name == "a":
                 in_link -= 1
-            if hidden_inline and hidden_inline[-1] > len(inline):
+            if hidden_inline and hidden_inline[-1][0] > len(inline):
                 hidden_inline.pop()
                 hidden -= 1
 
@@ -176,7 +203,7 @@ def extract(page: str | None) -> str:
                     if inline[i][0] == name:
                         del inline[i]
                         in_link -= name == "a"
-                        if hidden_inline and hidden_inline[-1] > len(inline):
+                        if hidden_inline and hidden_inline[-1][0] > len(inline):
                             hidden_inline.pop()
                             hidden -= 1
                         break
@@ -218,49 +245,66 @@ def extract(page: str | None) -> str:
                     if tags[stack[depth]] in P_SCOPE:
                         break
             flush()
-            gone, extra = judged(name, m[3], in_article > 0)
+            gone, called, extra = judged(name, m[3], in_article > 0)
+            if name in ("article", "main") and hidden_inline:  # no name hides an article
+                hard = [h for h in hidden_inline if not h[1]]
+                hidden -= len(hidden_inline) - len(hard)
+                hidden_inline[:] = hard
             parent.append(stack[-1])
             tags.append(name)
             bonus.append(extra)
             out.append(gone)
+            named.append(called if by_name else 0)
             stack.append(len(tags) - 1)
             hidden += gone
             in_article += name in ("article", "main")
         else:
-            gone = judged(name, m[3], in_article > 0)[0] if m[3] or name in LEFT_OUT else False
+            gone, called, _ = judged(name, m[3], in_article > 0) if m[3] or name in LEFT_OUT else (False, 0, 0)
             inline.append((name, len(stack)))
             if name == "a":
                 in_link += 1
-            if gone:
+            if gone or by_name and called > 1:
                 hidden += 1
-                hidden_inline.append(len(inline))
+                hidden_inline.append((len(inline), not gone))
     flush()
     if not blocks:
-        return ""
-    return "\n".join(chosen(parent, tags, bonus, blocks))
+        return [], False
+    kept = chosen(parent, tags, bonus, named, blocks)
+    return [text for _, text, _ in kept], any(not HEADING.fullmatch(tags[element]) for element, _, _ in kept)
 
 
-def chosen(parent: list[int], tags: list[str], bonus: list[float], blocks: list[tuple[int, str, int]]) -> list[str]:
-    """Texts of the blocks in the best element and its good siblings."""
+def chosen(parent: list[int], tags: list[str], bonus: list[float], named: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The blocks in the best element and its good siblings."""
     n = len(parent)
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for element, text, linked in blocks:
+        chars[element] += len(text)
+        links[element] += linked
+    holds = [tag in ("article", "main") for tag in tags]
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        chars[parent[i]] += chars[i]
+        links[parent[i]] += links[i]
+        if holds[i] and chars[i]:
+            holds[parent[i]] = True
+    half = (chars[0] - links[0]) / 2
+    named = [0 if name < 3 and chars[i] - links[i] > half else name for i, name in enumerate(named)]
+    weak = [False] * n
+    for i in range(1, n):
+        weak[i] = weak[parent[i]] or named[i] > 0
+    for element, text, _ in blocks:
         # Text directly in a container counts as a paragraph of it.
         own = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
+        if weak[element]:
+            own *= WEAK
         up = element
-        chars[element] += len(text)
-        links[element] += linked
         share = 1
         while up >= 0:
             if tags[up] not in INNER:
                 points[up] += own / share
                 share += 1
             up = parent[up]
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        chars[parent[i]] += chars[i]
-        links[parent[i]] += links[i]
     density = [links[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
-    score = [(points[i] + (bonus[i] if chars[i] else 0)) * (1 - density[i]) for i in range(n)]
+    score = [(points[i] + (bonus[i] * (WEAK if weak[i] else 1) if chars[i] else 0)) * (1 - density[i]) for i in range(n)]
     candidates = [i for i in range(n) if points[i] > 0]
     best = max(candidates, key=lambda i: (score[i], -i))
     lifted = best
@@ -269,10 +313,17 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], blocks: list[
             best = lifted
             break
         lifted = parent[lifted]
+    # A box with an unwanted name goes, unless it holds what may be the article.
+    inside = [False] * n
+    inside[best] = True
+    for i in range(best + 1, n):
+        inside[i] = inside[parent[i]]
+    has_article = tags[best] == "article" or any(inside[i] and tags[i] == "article" and chars[i] and not weak[i] for i in range(n))
+    goes = [named[i] > 1 and (has_article or not holds[i]) for i in range(n)]
     keep = [False] * n
     least = 0.2 * score[best]
     for i in range(1, n):
-        if parent[i] == parent[best] and i != best:
+        if parent[i] == parent[best] and i != best and not goes[i]:
             if tags[i] in ("p", "h1", "h2", "pre", "blockquote"):
                 keep[i] = tags[best] not in ("article", "main") and chars[i] > 0 and density[i] < 0.25
             else:
@@ -281,8 +332,8 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], blocks: list[
     for i in range(1, n):
         if parent[i] >= 0 and keep[parent[i]] and i != best:
             # A list or box made of links is a menu, wherever it stands.
-            keep[i] = not (tags[i] in ("ul", "ol", "div") and density[i] > 0.8)
-    return [text for element, text, _ in blocks if keep[element]]
+            keep[i] = not (goes[i] or tags[i] in ("ul", "ol", "div") and density[i] > 0.8)
+    return [block for block in blocks if keep[block[0]]]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

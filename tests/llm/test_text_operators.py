@@ -37,6 +37,34 @@ def test_main_text(page, text):
     assert html_text.extract(page) == text
 
 
+ARTICLE = "<h1>T</h1><p>One, of the article, here.</p><p>Two, of it.</p>"
+ARTICLE_TEXT = "T\nOne, of the article, here.\nTwo, of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><main><article>{ARTICLE}</article></main></div>',
+        f'<div class="sidebar-wrap"><main><article>{ARTICLE}</article></main><div class=sidebar><p>no</p></div></div>',
+        f'<div class="layout no-sidebar">{ARTICLE}</div>',
+        f'<div class="page has-menu"><div class=menu><p>no</p></div><div>{ARTICLE}</div></div>',
+        f'<body><div class="page menu">{ARTICLE}<div class="comments"><p>no, no</p></div></div><div class=ad>no</div></body>',
+        f'<main><div class="widget">{ARTICLE}</div><div class="comments"><p>no</p></div></main>',
+        f'<div class="promo">{ARTICLE}</div>',
+        f'<span class="menu page"><article>{ARTICLE}</article></span><p>no</p>',
+        f'<article>{ARTICLE}<div class="related"><article>no</article></div></article>',
+    ],
+)
+def test_names_of_wrappers_do_not_hide_the_article(page):
+    assert html_text.extract(page) == ARTICLE_TEXT
+
+
+def test_names_leave_more_than_a_title():
+    text = "word, " * 60
+    assert html_text.extract(f"<main><h1>T</h1><div class=promo><p>{text}</p></div></main>") == "T\n" + text.strip()
+    assert html_text.extract("<main><h1>T</h1><div class=ad><p>no</p></div></main>") == "T"
+
+
 def test_pages_keep_other_columns_and_replace_outputs(spark):
     pages = spark.createDataFrame([(1, None, "old"), (1, "<p>é😀</p>", "old"), (None, "<p>" + LONG + "</p>", "old")], "page_id long, html string, Text string")
     got = html_text.extract_pages(pages)
