@@ -3,14 +3,19 @@
 A tolerant tokenizer builds the tree of block elements. Each paragraph earns
 points for its length and its commas and passes them to the containers around it
 (all to the first, half to the second, a third to the third, and so on; lists,
-tables and their parts are no containers), and each element's sum is discounted by the share of its text that lies in links. The
-best element and its good siblings are kept; within them, menus, page headers,
-footers, sidebars, notices, adverts, forms and comments are left out wherever
-the tag, role, class or id names them. What a tag, a role or ``hidden`` names is
-never read. A class or id only lowers the points of what it names, and counts
-when the choice is made: it leaves out no element that has a wanted name too,
-holds the article, or is a layout's wrapper with more than half of the text, and
-nothing at all where otherwise no text, or headings only, would be left.
+tables and their parts are no containers), and each element's sum is discounted
+by the share of its text that lies in links. The best element and its good
+siblings are kept: of an ``article`` or ``main`` others of its kind, elsewhere
+whatever stands beside it and is not links. Where that is a fifth of its text or
+more, at its own level or beside a parent, the choice is lifted to the parent.
+
+Menus, page headers, footers, sidebars, notices, adverts, forms and comments are
+left out wherever the tag, role, class or id names them. What a tag, a role or
+``hidden`` names is never read. A class or id only lowers the points of what it
+names, and counts when the choice is made: it leaves out no element that has a
+wanted name too, holds the article, or is a layout's wrapper with more than half
+of the text, and nothing at all where otherwise no text, or headings only, would
+be left.
 
 Defined results: a null or empty page, or one without text, gives "". Character
 references are decoded once; white space inside a block becomes one space; blocks
@@ -69,6 +74,10 @@ STATES = frozenset("no not has with without hide".split())
 WEAK = 0.25
 #: Longer text beside headings shows that names alone had left the article out.
 ONLY_NAMED = 200
+#: Where a choice ends that is lifted to the parent.
+TOP = frozenset(["#document", "html", "body"])
+#: Share of links from which what stands beside the article is no text, and share of its text that lifts the choice.
+MOST_LINKS, LEAST_PART = 0.3, 0.2
 HEADERS = frozenset("header masthead banner".split())
 WANTED = frozenset("article content post entry story main body text".split())
 
@@ -308,11 +317,13 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], named: list[i
     candidates = [i for i in range(n) if points[i] > 0]
     best = max(candidates, key=lambda i: (score[i], -i))
     lifted = best
-    while lifted >= 0:  # an article is kept whole
-        if tags[lifted] in ("article", "main"):
-            best = lifted
-            break
+    while lifted >= 0 and tags[lifted] not in ("article", "main"):
         lifted = parent[lifted]
+    in_article = lifted >= 0
+    if in_article:  # an article is kept whole
+        best = lifted
+    else:
+        best = whole(best, parent, tags, named, chars, links, density)
     # A box with an unwanted name goes, unless it holds what may be the article.
     inside = [False] * n
     inside[best] = True
@@ -324,16 +335,31 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], named: list[i
     least = 0.2 * score[best]
     for i in range(1, n):
         if parent[i] == parent[best] and i != best and not goes[i]:
-            if tags[i] in ("p", "h1", "h2", "pre", "blockquote"):
-                keep[i] = tags[best] not in ("article", "main") and chars[i] > 0 and density[i] < 0.25
-            else:
-                keep[i] = score[i] >= least and tags[i] == tags[best] and density[i] < 0.3
+            keep[i] = chars[i] > 0 and density[i] < MOST_LINKS and (not in_article or tags[i] == tags[best] and score[i] >= least)
     keep[best] = True
     for i in range(1, n):
         if parent[i] >= 0 and keep[parent[i]] and i != best:
             # A list or box made of links is a menu, wherever it stands.
             keep[i] = not (goes[i] or tags[i] in ("ul", "ol", "div") and density[i] > 0.8)
-    return [block for block in blocks if keep[block[0]]]
+    beside = -1 if in_article else parent[best]  # also text that stands directly beside the best element
+    return [block for block in blocks if keep[block[0]] or block[0] == beside and block[2] < MOST_LINKS * len(block[1])]
+
+
+def whole(best: int, parent: list[int], tags: list[str], named: list[int], chars: list[int], links: list[int], density: list[float]) -> int:
+    """The element that holds the best one and all parts of the text that stand beside it or its parents."""
+    beside: dict[int, list[int]] = {}
+    for i in range(1, len(parent)):
+        if chars[i] and density[i] < MOST_LINKS and named[i] < 2:
+            beside.setdefault(parent[i], []).append(i)
+    top = at = best
+    while parent[at] >= 0 and tags[at] not in TOP:
+        up = parent[at]
+        least = LEAST_PART * (chars[at] - links[at])
+        if chars[up] == chars[at] or sum(chars[i] - links[i] for i in beside.get(up, []) if i != at) >= max(1, least):
+            # Of a page's top, the good children are kept and not all.
+            top = at if tags[up] in TOP else up
+        at = up
+    return top
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -65,6 +65,26 @@ def test_names_leave_more_than_a_title():
     assert html_text.extract("<main><h1>T</h1><div class=ad><p>no</p></div></main>") == "T"
 
 
+TEN = "".join(f"<p>Line {i}, of the article, of some length.</p>" for i in range(10))
+TEN_TEXT = "\n".join(f"Line {i}, of the article, of some length." for i in range(10))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><section>{TEN}</section><section><p>Short.</p></section></div>", TEN_TEXT + "\nShort."),
+        (f"<div><section>{TEN}</section><h3>H</h3><ul><li>one<li>two</ul><ol><li>three</ol></div>", TEN_TEXT + "\nH\none\ntwo\nthree"),
+        (f"<div><section>{TEN}</section><table><tr><td>a<td>b</table><figure><figcaption>f</figcaption></figure><dl><dt>t<dd>d</dl><div>box</div></div>", TEN_TEXT + "\na\nb\nf\nt\nd\nbox"),
+        (f"<div>Before <section>{TEN}</section> after</div>", f"Before\n{TEN_TEXT}\nafter"),
+        (f"<body><div><div><section>{TEN}</section></div><div><section><p>Short.</p></section></div></div></body>", TEN_TEXT + "\nShort."),
+        (f"<div id=a><div><div><section>{TEN}</section><section><p>Short.</p></section></div><div><section>{TEN}</section></div></div></div>", f"{TEN_TEXT}\nShort.\n{TEN_TEXT}"),
+        (f"<body><div><section>{TEN}</section><div class=sidebar><p>no</p></div><ul><li><a>no</a></ul></div><div><a>no</a> no</div><footer>no</footer></body>", TEN_TEXT),
+    ],
+)
+def test_parts_of_the_article_beside_the_best_stay(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_pages_keep_other_columns_and_replace_outputs(spark):
     pages = spark.createDataFrame([(1, None, "old"), (1, "<p>é😀</p>", "old"), (None, "<p>" + LONG + "</p>", "old")], "page_id long, html string, Text string")
     got = html_text.extract_pages(pages)
