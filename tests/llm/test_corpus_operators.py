@@ -116,6 +116,15 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, block):
     assert got == expected_classes(rows)
 
 
+def test_links_to_empty_blocks_are_not_counted_again(spark, monkeypatch):
+    """With blocks of 1, as many blocks as texts, some of them get none."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 1)
+    rows = duplicate_table()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, node string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_report(docs).collect()}
+    assert got == expected_classes(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = duplicate_table()
     rows += [rows[0], (rows[0][0], "quite another text of the same number", "x", "y"), (None, prose(30), "x", "y")]
