@@ -10,9 +10,9 @@ their Jaccard similarity is at least 0.8 / 4.2, and one equal value among
 differ with a chance of about 1e-6. Each candidate is verified against the
 shingle set of the whole document, so that also scattered passages count.
 
-Defined results: null and empty texts and items leak nothing. A text or item of
-one to four words has one shingle, all its words; such an item is found only in
-a document that is the same few words. Items of equal text are all reported.
+Defined results: null and empty texts and items leak nothing. An item of one to
+four words has one shingle, all its words; it is searched among all runs of as
+many words of each document. Items of equal text are all reported.
 Repeated documents are reported each. Whole texts are searched, however long.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, columns, free
-from .textcode import hash_parameters, minhash, shingle_sets, shingles
+from .textcode import SHINGLE, hash_parameters, minhash, shingle_sets, shingles, words
 
 HASHES = 64
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
@@ -47,14 +47,24 @@ class ItemIndex:
     ids: list[list[int | None]]
     sets: list[np.ndarray]
     classes: list[SizeClass]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by words of an item, fewer than a shingle's: sorted fingerprints and items
     threshold: float
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]], threshold: float) -> ItemIndex:
         known: dict[bytes, int] = {}
         ids, sets = [], []
-        for (item, _), found in zip(rows, shingle_sets([text for _, text in rows]), strict=True):
-            if not len(found):
+        few: dict[int, dict[int, int]] = {}
+        texts = [text for _, text in rows]
+        for (item, text), found, n in zip(rows, shingle_sets(texts), np.diff(words(texts)[1]).tolist(), strict=True):
+            if not n:
+                continue
+            if n < SHINGLE:
+                at = few.setdefault(n, {}).setdefault(int(shingles([text], n)[0][0]), len(sets))
+                if at == len(sets):
+                    sets.append(found)
+                    ids.append([])
+                ids[at].append(item)
                 continue
             at = known.setdefault(found.tobytes(), len(sets))
             if at == len(sets):
@@ -62,8 +72,9 @@ class ItemIndex:
                 ids.append([])
             ids[at].append(item)
         classes = []
-        size = np.array([int(len(s)).bit_length() - 1 for s in sets])
-        for c in np.unique(size) if len(sets) else []:
+        size = np.array([int(len(s)).bit_length() - 1 for s in sets], np.int64)
+        size[np.array([at for found in few.values() for at in found.values()], np.int64)] = -1
+        for c in np.unique(size[size >= 0]):
             members = np.flatnonzero(size == c)
             at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in members])])
             values = minhash(np.concatenate([sets[i] for i in members]), at, HASHES).T
@@ -72,7 +83,11 @@ class ItemIndex:
             for k in range(HASHES):
                 table[k, values[k] & 0xFFFF] = True
             classes.append(SizeClass(2 << int(c), np.take_along_axis(values, order, 1), members[order], table))
-        return cls(ids, sets, sorted(classes, key=lambda x: x.block), threshold)
+        short = {}
+        for n, found in few.items():
+            values = np.array(sorted(found), np.uint64)
+            short[n] = values, np.array([found[int(v)] for v in values], np.int64)
+        return cls(ids, sets, sorted(classes, key=lambda x: x.block), short, threshold)
 
     def candidates(self, found: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs with an equal MinHash value in some window."""
@@ -113,11 +128,26 @@ class ItemIndex:
                     pairs.update((int(doc[w]), int(i)) for i in c.items[k, x:y])
         return pairs
 
+    def short_leaks(self, texts: list[str | None]) -> set[tuple[int, int]]:
+        """(document, item) pairs where the document holds all words of a short item, one after another."""
+        pairs: set[tuple[int, int]] = set()
+        for n, (values, items) in self.short.items():
+            found, at = shingles(texts, n)
+            place = np.minimum(np.searchsorted(values, found), len(values) - 1)
+            hit = np.flatnonzero(values[place] == found)
+            doc = np.searchsorted(at, hit, "right") - 1
+            pairs.update(zip(doc.tolist(), items[place[hit]].tolist(), strict=True))
+        return pairs
+
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
         found, at = shingles(texts)
         out: list[list[dict]] = [[] for _ in texts]
         whole: dict[int, np.ndarray] = {}
-        for doc, item in sorted(self.candidates(found, at)):
+        short = self.short_leaks(texts)
+        for doc, item in sorted(self.candidates(found, at) | short):
+            if (doc, item) in short:
+                out[doc] += [{"item_id": i, "containment": 1.0} for i in self.ids[item]]
+                continue
             if doc not in whole:
                 whole = {doc: np.unique(found[at[doc] : at[doc + 1]])}
             own, text = self.sets[item], whole[doc]

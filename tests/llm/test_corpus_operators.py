@@ -194,6 +194,16 @@ def test_leaks_match_all_pairs(spark, monkeypatch):
     assert decontaminate.clean(table.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_inside_longer_documents(spark):
+    items = [(1, "Zebra"), (2, "green, zebra"), (3, "a big green zebra"), (4, "zebra"), (5, "green zebra sat on the old mat"), (6, "...")]
+    docs = [(1, f"{prose(900)} a big GREEN zebra {prose(900)}"), (2, "green zebra"), (3, f"{prose(50)} zebra green {prose(50)}"), (4, "green zebras"), (5, "big green"), (6, "zebra"), (7, ""), (8, None)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(table, bench).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*").collect()
+    assert all(r["containment"] == 1 for r in found)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 4), (3, 1), (3, 4), (6, 1), (6, 4)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(table, bench).collect()) == [4, 5, 7, 8]
+
+
 # ---------------------------------------------------------------------- search
 
 
