@@ -125,6 +125,19 @@ def test_links_to_empty_blocks_are_not_counted_again(spark, monkeypatch):
     assert got == expected_classes(rows)
 
 
+@pytest.mark.parametrize("small_rows", [100, 0])
+def test_rows_that_share_a_doc_id_bring_one_text_per_node(spark, small_rows):
+    texts = [prose(30) for _ in range(40)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)] * 3 + [(8, texts[0]), (None, None), (7, "")]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = near_duplicates.fingerprint_list(texts)
+    reps = spark.createDataFrame([(n, None if i % 2 else 7) for i, n in enumerate(ids)], "id long, first_id long")
+    got = near_duplicates.node_texts(base, reps, small_rows).collect()
+    assert sorted((r["id"], r["text"]) for r in got) == sorted(zip(ids, texts, strict=True))
+    near = near_duplicates.near_report(base.union(spark.createDataFrame([(None, changed(t, 29)) for t in texts], base.schema)))
+    assert near.where("n_text_links = 1 and n_links in (1, 2, 3, 4, 5)").count() == len(rows) - 2 + len(texts)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = duplicate_table()
     rows += [rows[0], (rows[0][0], "quite another text of the same number", "x", "y"), (None, prose(30), "x", "y")]
