@@ -25,7 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no learned language: those without any letter, or without text."""
+    """Drop documents without text or without any letter.
+
+    With one learned language or more all others get one of those, also a text in
+    an unlearned language or of random letters: op4 knows no other rejection.
+    Without a learned language all are dropped.
+    """
     known = docs.where(~F.coalesce(bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
     language, score = free(docs, "language_found"), free(docs, "language_score")
     found = language_id.identify(docs, language_id.fit(known), (language, score))
