@@ -18,8 +18,16 @@ def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 
 
-def source_type(path: Column) -> Column:
-    return F.when(path.isNull(), "unknown").when(is_pdf(path), "pdf").otherwise("image")
+def source_type(path: Column, content: Column | None = None) -> Column:
+    """pdf or image by the path; without one pil_image if there are bytes of an image, else unknown."""
+    held = F.lit(False) if content is None else content.isNotNull()
+    return F.when(path.isNull(), F.when(held, "pil_image").otherwise("unknown")).when(is_pdf(path), "pdf").otherwise("image")
+
+
+def in_memory(images: DataFrame) -> DataFrame:
+    """Rows as ``read_files`` gives them of ``doc_id, content``: bytes of images that have no path."""
+    path = F.lit(None).cast("string")
+    return images.select(path.alias("path"), "doc_id", source_type(path, F.col("content")).alias("source_type"), "content")
 
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:

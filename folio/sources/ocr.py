@@ -120,7 +120,8 @@ def extract(files: DataFrame, ocr_fn: OcrFunction, render_fn=render_pdf, max_pag
     A prompt of one's own is used for images only, not for PDFs.
     """
     images = page_images(files, render_fn, max_pages)
-    pdf = files.select("doc_id", is_pdf(F.col("path")).alias("pdf"))
+    # Bytes without a path are an image; a row with neither has no text.
+    pdf = files.select("doc_id", F.when(F.col("path").isNotNull(), is_pdf(F.col("path"))).when(F.col("content").isNotNull(), False).alias("pdf"))
     joined = images.join(pdf, "doc_id")
     paged = recognise(joined.where("pdf"), ocr_fn)
     single = recognise(joined.where("not pdf"), ocr_fn, prompt or READ_PROMPT)

@@ -64,6 +64,13 @@ def test_recognition_seams(spark, tmp_path):
     assert limited.count() == 2
 
 
+def test_images_in_memory(spark):
+    images = spark.createDataFrame([(1, bytearray(b"image")), (2, None)], "doc_id long, content binary")
+    found = {r["doc_id"]: r for r in ocr.extract(files.in_memory(images), lambda image, prompt: image.decode()).collect()}
+    assert (found[1]["text"], found[1]["metadata"]["source_type"], found[1]["metadata"]["source_path"]) == ("image", "pil_image", None)
+    assert (found[2]["text"], found[2]["metadata"]["source_type"]) == ("", "unknown")
+
+
 def test_source_types(column):
     assert column(files.source_type, ["x.PDF", "y.png", None]) == ["pdf", "image", "unknown"]
     assert column(files.stem, ["/a/b.c.txt", "plain"]) == ["b.c", "plain"]
