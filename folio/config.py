@@ -13,18 +13,27 @@ from typing import Any
 
 @dataclass(frozen=True)
 class TextOptions:
+    """Options of the text pipeline; ``of`` takes them from a tree of settings."""
+
     similarity_threshold: float = 0.8
     remove_bounding_boxes: bool = True
     aggressive_ocr_correction: bool = False
     max_chunk_length: int = 512
     chunk_overlap: int = 50
+    merge_page_breaks: bool = True
     fix_duplicate: bool = False
 
+    @classmethod
+    def of(cls, config: Config) -> TextOptions:
+        known = {name: config.get(f"text_processing.{name}") for name in cls.__dataclass_fields__}
+        return cls(**{name: value for name, value in known.items() if value is not None})
+
 
+#: Settings and folders that hold where no file gives others.
 DEFAULTS: dict[str, Any] = {
     "ocr": {"model_name": None},
     "text_processing": {"similarity_threshold": 0.8, "max_chunk_length": 512, "chunk_overlap": 50},
-    "classification": {"model_path": None, "batch_size": 8, "confidence_threshold": 0.5, "max_length": 512},
+    "labelling": {"model_path": None, "batch_size": 8, "confidence_threshold": 0.5, "max_length": 512},
     "paths": {"raw_data": "data/raw", "processed_data": "data/processed", "models": "models", "outputs": "outputs", "logs": "logs"},
 }
 
@@ -64,11 +73,10 @@ class Config:
 def setup_logging(folder: str = "logs", level: int = logging.INFO) -> logging.Logger:
     """Log on the driver to a time-stamped file and to standard output."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    name = f"{folder}/classification_{datetime.now():%Y%m%d_%H%M%S}.log"
     log = logging.getLogger("folio")
     log.setLevel(level)
     log.handlers.clear()
-    for handler in (logging.FileHandler(name, encoding="utf-8"), logging.StreamHandler(sys.stdout)):
-        handler.setFormatter(logging.Formatter("%(asctime)s - %(name)s - %(levelname)s - %(message)s"))
+    for handler in (logging.FileHandler(f"{folder}/folio-{datetime.now():%Y-%m-%dT%H-%M-%S}.log", encoding="utf-8"), logging.StreamHandler(sys.stdout)):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)-7s %(name)s: %(message)s"))
         log.addHandler(handler)
     return log

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .patterns import java, replace, strip
+from .patterns import java, lstrip, replace, strip
 
 #: Rewrites of Markdown left by recognition, in order (rule, replacement, multiline).
 MARKDOWN = [
@@ -35,8 +35,9 @@ WORDS = [
     (r"\btbe\b", "the"), (r"\bteh\b", "the"), (r"\bwiht\b", "with"), (r"\bwhcih\b", "which"),
     (r"\bthat\s+is\b", "that is"), (r"\bi\s+am\b", "I am"), (r"\bi\s+have\b", "I have"),
 ]
-#: Marks of page breaks, in order, whatever their case.
-PAGE_BREAKS = [r"-{3,}", r"_{3,}", r"={3,}", r"\[?page\s*\d*\]?", r"---\s*page\s*break\s*---", r"\f"]
+#: Marks of page breaks, in order, whatever their case. One more, "page
+#: break" between dashes, can't be left once the first has removed all dashes.
+PAGE_BREAKS = [r"-{3,}|_{3,}|={3,}", r"\[?page\s*\d*\]?", r"\f"]
 #: Characters rewritten after decomposition. The first stands for the
 #: seven characters that a misplaced quote turns the apostrophe rule into.
 LITERALS = [(": \"'\", ", "'"), ("\u2013", "-"), ("\u2014", "-"), ("\u200b", ""), ("\u2028", "\n"), ("\u2029", "\n\n")]
@@ -95,9 +96,9 @@ def fix_line_breaks(text: Column) -> Column:
 
 def fix_spacing(text: Column) -> Column:
     out = replace(text, r" {2,}", " ")
-    out = replace(out, r"\s+([.,!?;:])", "$1")
+    out = replace(out, r"(?<!\s)\s++([.,!?;:])", "$1")
     out = replace(out, r"([.,!?;:])(?=[A-Za-z])", "$1 ")
-    out = replace(replace(out, r'"\s+', '"'), r'\s+"', '"')
+    out = replace(replace(out, r'"\s++', '"'), r'(?<!\s)\s++"', '"')
     return F.array_join(F.transform(F.split(out, "\n"), strip), "\n")
 
 
@@ -111,7 +112,7 @@ def word_corrections(text: Column) -> Column:
 
 def remove_noise(text: Column) -> Column:
     """Drop lone special characters and repeats of punctuation (also of ellipses)."""
-    out = replace(text, r"(?<![\w])[^\w\s.,!?;:'\"()-](?![\w])", "")
+    out = replace(text, r"[^\w\s.,!?;:'\"()-](?<!\w[^\w\s.,!?;:'\"()-])(?!\w)", "")
     out = replace(out, r"([.,!?;:])\1+", "$1")
     return replace(out, r"\s[~`^*#@$%&]\s", " ")
 
@@ -119,8 +120,13 @@ def remove_noise(text: Column) -> Column:
 def capitalize_sentences(text: Column) -> Column:
     """Upper-case the first character, ASCII letters after sentence ends, and a lone i."""
     first = lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2147483647))
-    pieces = F.split(text, java(r"(?<=[.!?]\s{1,64})(?=[a-z])"))
-    return replace(F.array_join(F.transform(pieces, first), ""), r"\bi\b", "I")
+    pieces = F.split(text, java(r"(?<=[.!?])(?=\s++[a-z])"))
+
+    def raised(piece, at):
+        word = lstrip(piece)
+        return F.when(at == 0, first(piece)).otherwise(F.concat(F.substring(piece, F.lit(1), F.length(piece) - F.length(word)), first(word)))
+
+    return replace(F.array_join(F.transform(pieces, raised), ""), r"\bi\b", "I")
 
 
 def preprocess(text: Column, aggressive: bool = False) -> Column:

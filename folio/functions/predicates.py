@@ -31,7 +31,8 @@ ZERO_SHOT = {
         r"^\d{2}[A-Z]{2,3}\d{4,}", r"^(Date|Due|Submitted)[\s:]*", r"^[A-Z]{2,5}$", r"^(www\.|http|@)",
     ],
 }
-#: Few-shot labelling rules, tried in this order of labels.
+#: Few-shot labelling rules, tried in this order of labels. The rule of
+#: lone x's is written so that it takes no step back, however long the line.
 FEW_SHOT = {
     "question": [
         r"^Q\s*[\d\-\.:]+", r"^Q\s+[A-Z][a-z]", r"^Ques[\s\-\.:]", r"^Question\s*[\d\-\.:]*", r"^\(\s*[a-z]\s*\)", r"^\d+\s*[\.\)]\s*[A-Z]",
@@ -41,7 +42,7 @@ FEW_SHOT = {
     "metadata": [
         r"^---\s*PAGE\s*\d+\s*---", r"^Page\s*(No\.?|Number)?", r"^\d+\s*(of|/)\s*\d+$", r"^(Section|Part)\s*[A-Z]\s*[:.]?\s*$",
         r"^(Section|Part)\s*[A-Z]\s*[:.-]", r"^(Name|Roll|ID|Student)\s*[:.]", r"^\d{2}[A-Z]{2,3}\d{4,}", r"^(Date|Due|Submitted)[\s:]*",
-        r"^Total\s*(Marks|Points)", r"^[A-Z]{2,5}$", r"^(x\s*)+[xo]?\s*$", r"^[xo]\s+[xo]\s+[xo]$",
+        r"^Total\s*(Marks|Points)", r"^[A-Z]{2,5}$", r"^x[x\s]*+o?\s*$", r"^[xo]\s+[xo]\s+[xo]$",
         r"^(Short|Long|Very Short|Medium)\s+(Answer\s+)?(type\s+)?Questions?\s*$",
     ],
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,7 @@ from ..functions import predicates as P
 from ..functions.patterns import java, replace, strip, tokens
 
 LABELS = ("question", "answer", "metadata")
+RULES = {"zero-shot": P.ZERO_SHOT, "few-shot": P.FEW_SHOT}
 #: The examples that few-shot messages show, in order.
 EXAMPLES = [
     ("Ques-1: You are the lead architect for a popular e-commerce platform. The business has announced a massive 'flash sale' event that is expected to increase website traffic by 10x.", "question"),
@@ -69,17 +71,19 @@ def parse_zero_shot_reply(reply: Column) -> Column:
 def label_blocks(
     blocks: DataFrame,
     mode: str = "zero-shot",
-    reply_fn: Callable[[list[str]], list[str]] | None = None,
+    reply_fn: Callable[[list], list[str]] | None = None,
     use_patterns: bool = True,
+    chat: bool = False,
 ) -> DataFrame:
     """Add ``label, confidence, reasoning`` to blocks (column ``text``).
 
     Rules decide natively. If ``reply_fn`` is given, each different text that
     they leave open is sent to it once, in Arrow batches; a Python function inside
     CASE would run for every row, so open texts are filtered out, made distinct,
-    answered and joined back. Without it such texts are unknown.
+    answered and joined back. With ``chat`` it gets each text's messages, lists of
+    role and content, instead of the text. Without it such texts are unknown.
     """
-    rules = {"zero-shot": P.ZERO_SHOT, "few-shot": P.FEW_SHOT}[mode]
+    rules = RULES[mode]
     short = P.too_short(F.col("text"))
     pattern = P.pattern_label(F.col("text"), rules) if use_patterns else F.lit(None).cast("string")
     found = blocks.withColumn("short", short).withColumn("pattern", F.when(~F.col("short"), pattern))
@@ -95,9 +99,11 @@ def label_blocks(
 
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
-        return pd.Series(reply_fn(texts.tolist()), dtype=object)
+        return pd.Series(reply_fn([json.loads(t) for t in texts] if chat else texts.tolist()), dtype=object)
 
-    replies = found.where(~known).select("text").distinct().withColumn("reply", ask("text"))
+    messages = zero_shot_messages if mode == "zero-shot" else few_shot_messages
+    sent = F.to_json(messages(F.col("text"))) if chat else F.col("text")
+    replies = found.where(~known).select("text").distinct().withColumn("reply", ask(sent))
     joined = found.withColumn("asked", F.when(~known, F.col("text"))).join(replies.withColumnRenamed("text", "asked"), "asked", "left")
     if mode == "zero-shot":
         parsed = parse_zero_shot_reply(F.col("reply"))

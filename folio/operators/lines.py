@@ -54,7 +54,9 @@ def split_qa_markers(lines: DataFrame) -> DataFrame:
     bare = strip(F.col("line"))
     out = F.array(bare)
     for rule in reversed(SPLITS):
-        wrapped = f"(?s)^(.*?)({java(rule, True)}.*)$"
+        # A mark begins where its white space does.
+        mark = java(r"(?<!\s)" + rule, True)
+        wrapped = f"(?s)^(.*?)({mark}.*)$"
         parts = F.array(strip(F.regexp_extract(bare, wrapped, 1)), strip(F.regexp_extract(bare, wrapped, 2)))
-        out = F.when(bare.rlike(java(rule, True)), parts).otherwise(out)
+        out = F.when(bare.rlike(mark), parts).otherwise(out)
     return _rewritten(lines, out)

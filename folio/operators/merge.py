@@ -19,6 +19,9 @@ from ..functions.clean import clean_text, preprocess
 from ..functions.patterns import java, lstrip, rstrip, strip
 from .lines import markdown_lines, split_page_markers
 
+#: Lines that a fold gathers before they join what it has.
+AT_ONCE = 256
+
 
 def _blocks(lines: DataFrame, boundary) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("line_idx")
@@ -99,20 +102,27 @@ def merge_page_breaks(lines: DataFrame, fix_duplicate: bool = False, look_ahead:
         F.when(~F.col("skip"), F.array_join(F.concat(F.array("line"), joined), " ")).alias("out"),
     )
     rows = F.array_sort(F.collect_list(F.struct("at", "next", "out")))
-    origin = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
     def walk(state, row):
         out = F.when(row["out"].isNull(), state["out"]).otherwise(F.array_append(state["out"], row["out"]))
         return F.when(row["at"] == state["cursor"], F.struct(row["next"].alias("cursor"), out.alias("out"))).otherwise(state)
 
-    merged = steps.groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.aggregate("rows", origin, walk)["out"].alias("lines"))
+    def walk_some(state, some):
+        # Each step copies what it adds to, so lines are gathered by the few hundred.
+        ran = F.array(F.aggregate(some, F.struct(state["cursor"].alias("cursor"), none.alias("out")), walk))
+        return F.transform(ran, lambda r: F.struct(r["cursor"].alias("cursor"), F.array_append(state["parts"], r["out"]).alias("parts")))[0]
+
+    pieces = F.transform(F.sequence(F.lit(0), F.size("rows") - 1, F.lit(AT_ONCE)), lambda i: F.slice("rows", i + 1, AT_ONCE))
+    origin = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<array<string>>").alias("parts"))
+    merged = steps.groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.flatten(F.aggregate(pieces, origin, walk_some)["parts"]).alias("lines"))
     out = merged.select("doc_id", F.posexplode("lines").alias("line_idx", "line"))
     return out.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "line")
 
 
-def document_lines(docs: DataFrame, merge_breaks: bool = True, fix_duplicate: bool = False) -> DataFrame:
+def document_lines(docs: DataFrame, merge_breaks: bool = True, fix_duplicate: bool = False, remove_boxes: bool = True) -> DataFrame:
     """Lines of recognised Markdown, joined across page breaks if asked."""
-    lines = markdown_lines(docs)
+    lines = markdown_lines(docs, remove_boxes)
     return merge_page_breaks(lines, fix_duplicate) if merge_breaks else lines
 
 

@@ -7,17 +7,21 @@ lines of every kind that the rules know. Both engines build these lines alike.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TextOptions
 from ..functions import clean
 from ..functions import predicates as P
 from ..functions.patterns import count_chars, starts_lower, strip, token_count
 from ..operators import label, lines, merge, report, segments
-from ..sinks.files import training_rows
+from ..sinks import files as sinks
 from ..sources import files as sources
+from ..sources import ocr
 from . import pipelines
 
 EXTRA = [
@@ -161,9 +165,94 @@ def hyphened(text):
 
 
 def full_report(found: DataFrame) -> DataFrame:
+    """Every entry of every list, as one line each, in order."""
     made = pipelines.classify_documents(found)
-    sizes = [F.size(name).cast("long").alias(name) for name in report.LISTS]
-    return made.select("doc_id", *sizes, F.col("statistics.total_merged_blocks").alias("total_merged_blocks"), "model", "method")
+    line = lambda e: F.concat_ws("|", e["text"], e["confidence"].cast("string"), e["reasoning"], F.array_join(e["original_line_indices"].cast("array<string>"), ","))
+    lists = [F.array_join(F.transform(name, line), "\n").alias(name) for name in report.LISTS]
+    return made.select("doc_id", *lists, F.col("statistics.total_merged_blocks").alias("total_merged_blocks"), "model", "method")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share, deleted when the JVM ends."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="folio-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{named.rstrip('/')}/folio/{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sources.assemble(exam_pages(spark, sf_dir))
+    return texts.select("doc_id", F.concat(F.lit("exam "), F.col("doc_id").cast("string")).alias("name"), "text")
+
+
+def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_texts(assembled(spark, sf_dir), path)
+    return spark.read.schema("name string, text string").json(path)
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file for each document, and read as whole files."""
+    path = scratch(spark)
+    sinks.write_texts(assembled(spark, sf_dir), path, folders=True)
+    read = sources.read_texts(spark, f"{path}/*/*.txt")
+    return read.select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("name"), F.col("name").startswith("part-").alias("is_part"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_reports(pipelines.classify_documents(exam_lines(spark, sf_dir)), path)
+    entries = [spark.read.schema("doc_id long, at long, text string").json(f"{path}/{name}").withColumn("kind", F.lit(name)) for name in ("questions", "answers")]
+    return entries[0].union(entries[1])
+
+
+def written_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    pipelines.text_to_jsonl(documents(spark, sf_dir).select("doc_id", annotated(F.col("text")).alias("text")), path, TextOptions(merge_page_breaks=False))
+    return spark.read.schema("text string, label string").json(path)
+
+
+def written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_csv(segments.segments(documents(spark, sf_dir), cleaned=True), path)
+    kinds = "document_id long, id long, text string, char_count long, word_count long, likely_type string"
+    return spark.read.schema(kinds).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def split_pages(content: bytes) -> list[bytes]:
+    """Stands in for a PDF library: pages between form feeds."""
+    return content.split(b"\f")
+
+
+def read_page(image: bytes, prompt: str) -> str:
+    """Stands in for a recognition model: the image is its text, in bold."""
+    return f"# {image.decode()}"
+
+
+def recognised(max_pages: int | None):
+    """Exams as PDFs, images and bytes without a path, through rendering, recognition and assembly."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = exam_pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+        texts = F.transform("pages", lambda r: r["text"])
+        pdf = F.col("doc_id") % 3 == 0
+        path = F.when(pdf, F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".PDF"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".png")))
+        content = F.encode(F.when(pdf, F.array_join(texts, "\f")).otherwise(texts[0]), "UTF-8")
+        held = pages.select(path.alias("path"), "doc_id", content.alias("content"))
+        files = held.select("path", "doc_id", sources.source_type(F.col("path"), F.col("content")).alias("source_type"), "content")
+        found = ocr.extract(files, read_page, split_pages, max_pages)
+        return found.select("doc_id", "path", "text", "metadata.source_type", "metadata.pages", "metadata.extraction_success", "metadata.char_count", "metadata.word_count")
+
+    return run
+
+
+def summaries(found: DataFrame) -> DataFrame:
+    made = report.summary(pipelines.classify_documents(found))
+    return made.select("doc_id", "total_original_lines", "total_merged_blocks", "questions_count", *[F.array_join(f"sample_{n}", "\n").alias(f"sample_{n}") for n in ("questions", "answers")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -187,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_break_merge_fixed": on_exam(lambda found: merge.merge_page_breaks(found, fix_duplicate=True)),
     "line_stats": on_exam(segments.line_statistics),
     "length_profile": on_documents(lambda docs: segments.length_profile(lines.to_lines(docs))),
-    "jsonl_rows": on_documents(lambda docs: training_rows(lines.to_lines(docs))),
+    "jsonl_rows": on_documents(lambda docs: sinks.training_rows(lines.to_lines(docs))),
     "markdown_cleanup": markdown,
     "strip_annotations": rewritten(clean.strip_annotations, annotated),
     "minimal_clean": rewritten(clean.minimal_clean, annotated),
@@ -209,6 +298,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "similarity_page_merge": lambda spark, sf_dir: merge.process_pages(exam_pages(spark, sf_dir)),
     "page_similarity": similarities,
     "page_aware_preprocess": separated_pages,
+    "written_texts": written_texts,
+    "text_files": text_files,
+    "written_reports": written_reports,
+    "written_jsonl": written_jsonl,
+    "written_csv": written_csv,
+    "recognised_files": recognised(None),
+    "recognised_first_pages": recognised(2),
+    "report_summaries": on_exam(summaries),
+    "recognised_line_counts": on_documents(lambda docs: pipelines.lines_and_statistics(docs.select("doc_id", annotated(F.col("text")).alias("text")), merge_breaks=False)[1]),
     "chat_messages": messages,
     "parse_reply": replies,
     "text_shape": on_documents(lambda docs: docs.select("doc_id", count_chars(F.col("text")).alias("chars"), token_count(F.col("text")).alias("tokens"), report.shortened(strip(F.col("text"))).alias("shown"))),
@@ -223,6 +321,7 @@ def quoted(text: str) -> str:
 
 def found(column: str, rules: list[str], ignore_case: bool = True) -> str:
     flags = "(?i)" if ignore_case else ""
+    rules = [r.replace("]*+", "]*") for r in rules]  # DuckDB never steps back
     return f"regexp_matches({column}, {quoted(flags + '|'.join(f'(?:{r})' for r in rules))})"
 
 
@@ -370,7 +469,94 @@ def examples_sql() -> str:
     return f"{quoted(f'system={label.INSTRUCTION}{chr(10)}{said}user=Text: ' + chr(39))} || text || ''''"
 
 
+def lone(letter: str, by: str, text: str) -> str:
+    """A letter between characters that are no word's; twice, as neighbours share them."""
+    step = (rf"(^|[^\p{{L}}\p{{N}}_]){letter}($|[^\p{{L}}\p{{N}}_])", rf"\1{by}\2")
+    return regexes(text, step, step)
+
+
+NOISE = r"""regexp_matches(c, '[^\p{L}\p{N}_\s.,!?;:''"()-]') AND NOT regexp_matches(coalesce(a[i - 1], ''), '[\p{L}\p{N}_]') AND NOT regexp_matches(coalesce(a[i + 1], ''), '[\p{L}\p{N}_]')"""
+LINE_LIST = f"list_filter(list_transform(string_split({{0}}, chr(10)), lambda s: {stripped('s')}), lambda s: s <> '')"
+
+
+def page_breaks_sql(passed: str) -> str:
+    """The walk over lines: each open line looks up to four lines ahead; then a cursor goes from line to line."""
+    taken = "NOT f.skip AND NOT f.opens AND NOT (w.kind <> 'unknown' AND f.kind <> 'unknown' AND w.kind <> f.kind)"
+    return f"""WITH RECURSIVE {DUCK_EXAM},
+    k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS pos, line, line = '' OR {marker_sql('line')} AS skip,
+                 {found('line', P.LINE_OPENINGS)} AS opens, {kind_sql('line')} AS kind, {incomplete_sql('line')} AS unfinished FROM exam),
+    w AS (SELECT doc_id, pos, kind, line AS text, 0 AS n, 0 AS used, 0 AS joined, skip, skip OR NOT unfinished AS done FROM k
+          UNION ALL
+          SELECT w.doc_id, w.pos, w.kind, CASE WHEN {taken} THEN w.text || ' ' || f.line ELSE w.text END, w.n + 1, CASE WHEN {taken} THEN w.n + 1 ELSE w.used END,
+                 w.joined + CASE WHEN {taken} THEN 1 ELSE 0 END, w.skip, CASE WHEN f.skip THEN false WHEN {taken} THEN NOT f.unfinished ELSE true END
+          FROM w JOIN k f ON f.doc_id = w.doc_id AND f.pos = w.pos + w.n + 1 WHERE NOT w.done AND w.n < 4),
+    s AS (SELECT doc_id, pos, skip, arg_max(text, n) AS text, pos + 1 + arg_max({passed}, n) AS following FROM w GROUP BY 1, 2, 3),
+    c AS (SELECT DISTINCT doc_id, CAST(1 AS BIGINT) AS pos FROM k UNION ALL SELECT s.doc_id, s.following FROM c JOIN s ON s.doc_id = c.doc_id AND s.pos = c.pos)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s.pos) - 1 AS BIGINT) AS line_idx, text AS line FROM c JOIN s USING (doc_id, pos) WHERE NOT skip"""
+
+
+def pages_merged_sql() -> str:
+    last, first = f"{LINE_LIST.format('f.current')}[-1]", f"{LINE_LIST.format('o.text')}[1]"
+    return f"""WITH RECURSIVE pg AS ({PAGES_SQL}), o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i, text FROM pg),
+    f AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS part, text AS current FROM o WHERE i = 1
+          UNION ALL
+          SELECT doc_id, i, part + CASE WHEN goes_on THEN 0 ELSE 1 END,
+                 CASE WHEN goes_on THEN {regexes('current', (r'\s+$', ''))} || ' ' || {regexes('text', (r'^\s+', ''))} ELSE text END
+          FROM (SELECT *, coalesce({incomplete_sql('last')} AND NOT {found('first', P.PAGE_OPENINGS)} AND regexp_matches(first, '^\\p{{Ll}}')
+                                   AND {kind_sql('last')} || '>' || {kind_sql('first')} NOT IN ('question>answer', 'answer>question'), false) AS goes_on
+                FROM (SELECT o.doc_id, o.i, f.part, f.current, o.text, {last} AS last, {first} AS first FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1)))
+    SELECT doc_id, part, arg_max(current, i) AS text FROM f GROUP BY 1, 2"""
+
+
+ASSEMBLED = f"""pg AS ({PAGES_SQL}),
+    d AS (SELECT doc_id, coalesce(string_agg('--- PAGE ' || page_no || ' ---' || chr(10) || {stripped('text')}, chr(10) || chr(10) ORDER BY page_no) FILTER ({stripped('text')} <> ''), '') AS t FROM pg GROUP BY 1)"""
+
+
+def recognised_sql(max_pages: str) -> str:
+    return f"""WITH pg AS ({PAGES_SQL}), r AS (SELECT doc_id, page_no, {markdown_sql("'# ' || text")} AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i FROM pg),
+    n AS (SELECT doc_id, doc_id % 3 AS kind, string_agg('--- PAGE ' || i || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY i) FILTER (text <> '' AND i <= {max_pages}) AS pdf, max(text) FILTER (i = 1) AS image,
+                 count(*) FILTER (text <> '' AND i <= {max_pages}) AS held FROM r GROUP BY 1),
+    t AS (SELECT doc_id, kind, held, coalesce(CASE WHEN kind = 0 THEN pdf ELSE image END, '') AS text FROM n)
+    SELECT doc_id, CASE kind WHEN 0 THEN 'in/' || doc_id || '.PDF' WHEN 1 THEN 'in/' || doc_id || '.png' END AS path, text,
+           ['pdf', 'image', 'pil_image'][kind + 1] AS source_type, CAST(CASE WHEN kind = 0 THEN greatest(held, 1) ELSE 1 END AS BIGINT) AS pages,
+           text <> '' AS extraction_success, length(text) AS char_count, {TOKENS.format('text')} AS word_count FROM t"""
+
+
+def entries_sql() -> str:
+    kept = ", ".join(f"coalesce(string_agg(text || '|' || sure || '|' || why || '|' || line_indices, chr(10) ORDER BY block_id) FILTER (label = '{own}'), '') AS {name}" for name, own in report.LISTS.items())
+    return f"""WITH {ZS_BLOCKS}, {label_sql(P.ZERO_SHOT)},
+        entries AS (SELECT *, coalesce(pattern, 'unknown') AS label, CASE WHEN pattern IS NULL THEN '0.0' ELSE '0.98' END AS sure,
+                     CASE WHEN short THEN 'Text too short or empty' WHEN pattern IS NOT NULL THEN 'Pattern matched: ' || pattern ELSE 'No pattern match and LLM disabled' END AS why FROM labels)
+        SELECT doc_id, {kept}, count(*) AS total_merged_blocks, 'patterns' AS model, 'zero-shot-llm' AS method FROM entries GROUP BY 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "document_reports": entries_sql(),
+    "page_break_merge": page_breaks_sql("CASE WHEN skip THEN 0 ELSE joined END"),
+    "page_break_merge_fixed": page_breaks_sql("CASE WHEN skip THEN 0 ELSE used END"),
+    "qa_page_merge": pages_merged_sql(),
+    "capitalize": rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]\s+)([a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS a FROM documents)
+        SELECT doc_id, {lone('i', 'I', "array_to_string(list_transform(a, lambda s: upper(substr(s, 1, 1)) || substr(s, 2)), '')")} AS text FROM t""",
+    "character_corrections": f"""SELECT doc_id, {regexes(lone('l', 'I', 'text'), ('0([a-zA-Z])', 'O$1'), ('([a-zA-Z])0', '$1o'), ('rn', 'm'), ('vv', 'w'), (r'\|', 'I'), ('`', "'"))} AS text FROM documents""",
+    "remove_noise": rf"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS a FROM documents),
+        n AS (SELECT doc_id, array_to_string(list_filter(a, lambda c, i: NOT ({NOISE})), '') AS x FROM c)
+        SELECT doc_id, {regexes('x', *[(rf'[{c}]{{2,}}', c) for c in '.,!?;:'], (r'\s[~`^*#@$%&]\s', ' '))} AS text FROM n""",
+    "written_texts": f"WITH {ASSEMBLED} SELECT 'exam ' || doc_id AS name, t AS text FROM d",
+    "text_files": f"WITH {ASSEMBLED} SELECT 'exam ' || doc_id AS name, true AS is_part, t AS text FROM d",
+    "written_reports": f"""WITH {ZS_BLOCKS}, {label_sql(P.ZERO_SHOT)}
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id, pattern ORDER BY block_id) - 1 AS at, text, pattern || 's' AS kind FROM labels WHERE pattern IN ('question', 'answer')""",
+    "written_jsonl": f"WITH {doc_lines_sql(minimal(unannotated(ANNOTATED)), minimal('s'))} SELECT line AS text, '' AS label FROM lines",
+    "written_csv": f"""WITH {SENTENCES} SELECT doc_id AS document_id, pos + 1 AS id, sentence AS text, length(sentence) AS char_count, {TOKENS.format('sentence')} AS word_count,
+        CASE WHEN ends_with(sentence, '?') THEN 'question' ELSE 'statement' END AS likely_type FROM sentences WHERE length(sentence) >= 10""",
+    "recognised_files": recognised_sql("100000"),
+    "recognised_first_pages": recognised_sql("2"),
+    "report_summaries": f"""WITH st AS ({stats_sql(ZS_BLOCKS, P.ZERO_SHOT)}), {ZS_BLOCKS}, {label_sql(P.ZERO_SHOT)},
+        k AS (SELECT doc_id, pattern, row_number() OVER (PARTITION BY doc_id, pattern ORDER BY block_id) AS place, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS text FROM labels),
+        firsts AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY place) FILTER (pattern = 'question' AND place <= 3) AS q, string_agg(text, chr(10) ORDER BY place) FILTER (pattern = 'answer' AND place <= 3) AS a FROM k GROUP BY 1)
+        SELECT st.doc_id, total_original_lines, total_merged_blocks, questions_count, coalesce(q, '') AS sample_questions, coalesce(a, '') AS sample_answers FROM st LEFT JOIN firsts ON st.doc_id = firsts.doc_id""",
+    "recognised_line_counts": f"""WITH {doc_lines_sql(minimal(unannotated(ANNOTATED)), minimal('s'))}, k AS (SELECT doc_id, {kind_sql('line')} AS kind FROM lines)
+        SELECT doc_id, count(*) AS total_lines, count(*) FILTER (kind = 'question') AS likely_questions, count(*) FILTER (kind = 'answer') AS likely_answers,
+               count(*) FILTER (kind = 'unknown') AS other FROM k GROUP BY 1""",
     "doc_lines": f"WITH {doc_lines_sql()} SELECT * FROM lines",
     "markdown_lines": f"WITH {doc_lines_sql(minimal(unannotated(ANNOTATED)), minimal('s'))} SELECT * FROM lines",
     "line_flags": f"WITH {DUCK_EXAM} SELECT doc_id, line_idx, {marker_sql('line')} AS is_marker, {incomplete_sql('line')} AS is_incomplete, {kind_sql('line')} AS kind FROM exam",
@@ -385,9 +571,6 @@ ORACLE_SQL: dict[str, str] = {
     "zs_unmerged_stats": stats_sql(SINGLE, P.ZERO_SHOT),
     "zs_model_labels": model_sql(ZS_BLOCKS, P.ZERO_SHOT, False),
     "fs_model_labels": model_sql(FS_BLOCKS, P.FEW_SHOT, True),
-    "document_reports": f"""WITH st AS ({stats_sql(ZS_BLOCKS, P.ZERO_SHOT)})
-        SELECT doc_id, questions_count AS questions, answers_count AS answers, metadata_count AS metadata, unknown_count AS unknown,
-               total_merged_blocks, 'patterns' AS model, 'zero-shot-llm' AS method FROM st""",
     "top_questions": f"""WITH {ZS_BLOCKS}, {label_sql(P.ZERO_SHOT)},
         k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS place, text FROM labels WHERE pattern = 'question')
         SELECT doc_id, place, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS text FROM k WHERE place <= 3""",

@@ -45,18 +45,32 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     out = files.select("path", F.xxhash64("path").alias("doc_id"), source_type(F.col("path")).alias("source_type"), "content")
     if isinstance(path, str):
         return out
-    place = F.lit(None).cast("int")
-    for i, one in reversed(list(enumerate(path))):
-        place = F.when(F.col("path").endswith(one.split(":", 1)[-1].lstrip("/")), i).otherwise(place)
-    return out.withColumn("source_ord", place)
+    return in_order(spark, out, path)
 
 
-def assemble(pages: DataFrame) -> DataFrame:
-    """(doc_id, text): pages that have content under their separators, in page order."""
+def in_order(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """Add ``source_ord``: the place in ``paths`` of a file, or of the folder it lies in (a name that is given twice counts first)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    first: dict[str, int] = {}
+    for i, one in enumerate(paths):
+        named = jvm.org.apache.hadoop.fs.Path(one)
+        first.setdefault(named.getFileSystem(conf).makeQualified(named).toString(), i)
+    given = F.broadcast(spark.createDataFrame(list(first.items()), "given string, place int"))
+    own, folder = given.toDF("own", "own_place"), given.toDF("folder", "folder_place")
+    placed = files.join(own, files["path"] == own["own"], "left").join(folder, F.regexp_extract("path", "^(.*)/[^/]*$", 1) == folder["folder"], "left")
+    return placed.select(*files.columns, F.coalesce("own_place", "folder_place").alias("source_ord"))
+
+
+def assembled() -> Column:
+    """Aggregate of ``page_no, text``: pages that have content under their separators, in page order."""
     shown = F.when(strip(F.col("text")) != "", F.struct("page_no", "text"))
-    rows = F.array_sort(F.collect_list(shown))
     line = lambda r: F.concat(F.lit("--- PAGE "), r["page_no"].cast("string"), F.lit(" ---\n"), strip(r["text"]))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(rows, line), "\n\n").alias("text"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(shown)), line), "\n\n")
+
+
+def assemble(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): the pages of each document, assembled."""
+    return pages.groupBy("doc_id").agg(assembled().alias("text"))
 
 
 def with_content_flag(pages: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import markdown_cleanup
-from .files import assemble, extraction_metadata, first_pages, is_pdf, with_content_flag
+from .files import assembled, extraction_metadata, is_pdf, with_content_flag
 
 READ_PROMPT = "Transcribe all text of this image. Keep its structure, line breaks and formatting. Output the text only."
 DESCRIBE_PROMPT = "Describe this image in detail."
@@ -26,6 +26,24 @@ ZOOM, FALLBACK_DPI = 2.0, 200
 
 OcrFunction = Callable[[bytes, str], str]
 
+_LOADED: dict[str, Callable] = {}
+
+
+def once_per_worker(load: Callable[[], Callable]) -> Callable:
+    """A function that calls what ``load`` gives; that is loaded at the first call in each worker process.
+
+    ``load`` is known by its module and name, so it should be a function of a module
+    that workers can import; models and their device are chosen in there.
+    """
+    name = f"{load.__module__}.{load.__qualname__}"
+
+    def call(*arguments):
+        if name not in _LOADED:
+            _LOADED[name] = load()
+        return _LOADED[name](*arguments)
+
+    return call
+
 
 @cache
 def _pdf_library():
@@ -68,9 +86,10 @@ def enhance(image: bytes) -> bytes:
 
 
 def page_images(files: DataFrame, render_fn: Callable[[bytes], Iterable[bytes]] = render_pdf, max_pages: int | None = None) -> DataFrame:
-    """(doc_id, page_no, image): PDFs page by page, images as one page.
+    """(doc_id, page_no, image, pdf): PDFs page by page, images as one page.
 
-    Rendering stops at ``max_pages``; a PDF that cannot be read has no pages.
+    Bytes without a path are an image. Rendering stops at ``max_pages``; a PDF that
+    cannot be read has no pages.
     """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,31 +101,34 @@ def page_images(files: DataFrame, render_fn: Callable[[bytes], Iterable[bytes]]
                         number += 1
                         if max_pages and number > max_pages:
                             break
-                        yield pd.DataFrame({"doc_id": [row.doc_id], "page_no": [number], "image": [image]})
+                        yield pd.DataFrame({"doc_id": [row.doc_id], "page_no": [number], "image": [image], "pdf": [row.pdf]})
                 except Exception:  # unreadable files give what was read so far
                     continue
 
-    flagged = files.select("doc_id", "content", is_pdf(F.col("path")).alias("pdf"))
-    return flagged.mapInPandas(pages, "doc_id long, page_no long, image binary")
+    flagged = files.where("content is not null").select("doc_id", "content", F.coalesce(is_pdf(F.col("path")), F.lit(False)).alias("pdf"))
+    return flagged.mapInPandas(pages, "doc_id long, page_no long, image binary, pdf boolean")
 
 
-def recognise(pages: DataFrame, ocr_fn: OcrFunction, prompt: str = READ_PROMPT, handwriting: bool = True) -> DataFrame:
-    """(doc_id, page_no, text, has_content, error): text of each image, cleaned; "" on failure."""
+def recognise(pages: DataFrame, ocr_fn: OcrFunction, prompt: str | Column = READ_PROMPT, handwriting: bool = True) -> DataFrame:
+    """``pages`` with (text, has_content, error) in place of the image: its text, cleaned; "" on failure."""
 
     @F.pandas_udf("struct<text:string,error:string>")
-    def read(images: pd.Series) -> pd.DataFrame:
+    def read(images: pd.Series, prompts: pd.Series) -> pd.DataFrame:
         texts, errors = [], []
-        for image in images:
+        for image, asked in zip(images, prompts, strict=True):
             try:
-                texts.append(ocr_fn(enhance(image) if handwriting else image, prompt) or "")
+                texts.append(ocr_fn(enhance(image) if handwriting else image, asked) or "")
                 errors.append(None)
             except Exception as problem:  # recognition never stops a job
                 texts.append("")
                 errors.append(str(problem))
         return pd.DataFrame({"text": texts, "error": errors})
 
-    ran = pages.withColumn("ran", read("image")).select("doc_id", "page_no", markdown_cleanup(F.col("ran.text")).alias("text"), "ran.error")
-    return with_content_flag(ran).select("doc_id", "page_no", "text", "has_content", "error")
+    kept = [c for c in pages.columns if c != "image"]
+    # Through a generator, so that what reads the text later never runs the model again.
+    asked = read("image", prompt if isinstance(prompt, Column) else F.lit(prompt))
+    ran = pages.withColumn("ran", asked).select(*kept, F.inline(F.array("ran")))
+    return with_content_flag(ran.withColumn("text", markdown_cleanup(F.col("text")))).select(*kept, "text", "has_content", "error")
 
 
 def describe(pages: DataFrame, ocr_fn: OcrFunction) -> DataFrame:
@@ -117,15 +139,12 @@ def describe(pages: DataFrame, ocr_fn: OcrFunction) -> DataFrame:
 def extract(files: DataFrame, ocr_fn: OcrFunction, render_fn=render_pdf, max_pages: int | None = None, prompt: str | None = None) -> DataFrame:
     """One row per file: text, and metadata with source type, path, pages and counts.
 
-    A prompt of one's own is used for images only, not for PDFs.
+    Each file is rendered once and each page recognised once; images are never
+    shuffled. A prompt of one's own is used for images only, not for PDFs.
     """
-    images = page_images(files, render_fn, max_pages)
-    # Bytes without a path are an image; a row with neither has no text.
-    pdf = files.select("doc_id", F.when(F.col("path").isNotNull(), is_pdf(F.col("path"))).when(F.col("content").isNotNull(), False).alias("pdf"))
-    joined = images.join(pdf, "doc_id")
-    paged = recognise(joined.where("pdf"), ocr_fn)
-    single = recognise(joined.where("not pdf"), ocr_fn, prompt or READ_PROMPT)
-    texts = assemble(first_pages(paged, max_pages)).unionByName(single.select("doc_id", "text"))
+    asked = F.when(F.col("pdf"), READ_PROMPT).otherwise(prompt or READ_PROMPT)
+    read = recognise(page_images(files, render_fn, max_pages), ocr_fn, asked)
+    texts = read.groupBy("doc_id").agg(F.when(F.max("pdf"), assembled()).otherwise(F.max("text")).alias("text"))
     out = files.drop("content").join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     found = extraction_metadata(F.col("text"), is_pdf(F.col("path")))
     fields = ["pages", "extraction_success", "char_count", "word_count"]

@@ -2,11 +2,13 @@
 
 import json
 import logging
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from folio.config import Config, TextOptions, setup_logging
+from folio.operators import label
 from folio.operators.lines import to_lines
 from folio.plans import pipelines
 from folio.sinks import files as sinks
@@ -24,12 +26,15 @@ def texts(tmp_path):
 
 
 def test_text_files_to_reports(spark, texts, tmp_path):
-    made = pipelines.classify_texts(spark, str(texts), str(tmp_path / "out"))
+    made = pipelines.classify_texts(spark, str(texts), str(tmp_path / "out"), folders=True)
     assert {r["name"]: len(r["questions"]) for r in made.collect()} == {"one": 1, "two": 1}
     found = list((tmp_path / "out/results/name=two").glob("part-*"))
     assert json.loads(found[0].read_text(encoding="utf-8"))["questions"][0]["text"] == "Question 2: hé?"
     asked = list((tmp_path / "out/questions/name=one").glob("part-*"))
     assert asked[0].read_text() == "Q1: What is it?\n\n"
+    pipelines.classify_texts(spark, str(texts), str(tmp_path / "rows"))
+    assert {(r["name"], r["at"], r["text"]) for r in spark.read.json(str(tmp_path / "rows/questions")).collect()} == {("one", 0, "Q1: What is it?"), ("two", 0, "Question 2: hé?")}
+    assert {r["name"]: r["questions"][0]["text"] for r in spark.read.json(str(tmp_path / "rows/results")).collect()} == {"one": "Q1: What is it?", "two": "Question 2: hé?"}
 
 
 def test_jsonl_and_csv_round_trip(spark, tmp_path):
@@ -64,6 +69,99 @@ def test_recognition_seams(spark, tmp_path):
     assert limited.count() == 2
 
 
+def test_each_page_is_recognised_once(spark, tmp_path):
+    """Two PDFs of two pages and an image: one rendering a PDF and one call a page, whatever is written from them."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / "in" / name).write_bytes(f"Q1: What is {name}?|Ans: A file.".encode())
+    (tmp_path / "in/c.png").write_bytes(b"Question 3: who?")
+
+    def note(kind):
+        (calls / f"{kind}-{uuid.uuid4()}").touch()
+
+    def render(content):
+        note("render")
+        yield from content.split(b"|")
+
+    def read(image, prompt):
+        note("read")
+        return image.decode()
+
+    for output, folders in ((str(tmp_path / "out"), True), (str(tmp_path / "rows"), False), (None, False)):
+        made = pipelines.read_and_classify(spark, str(tmp_path / "in"), read, output, render, folders=folders)
+        assert {r["name"]: len(r["questions"]) for r in made.collect()} == {"a": 1, "b": 1, "c": 1}
+        found = [p.name.split("-")[0] for p in calls.iterdir()]
+        assert (found.count("render"), found.count("read")) == (2, 5)
+        for p in calls.iterdir():
+            p.unlink()
+    text = (next((tmp_path / "out/extracted/name=a").glob("part-*"))).read_text()
+    assert text == "--- PAGE 1 ---\nQ1: What is a.pdf?\n\n--- PAGE 2 ---\nAns: A file.\n"
+
+
+def test_files_keep_the_order_of_their_list(spark, tmp_path):
+    for name in ("1.png", "11.png", "x/1.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    given = [str(tmp_path / "11.png"), str(tmp_path / "x"), str(tmp_path / "1.png"), str(tmp_path / "11.png")]
+    found = {bytes(r["content"]).decode(): r["source_ord"] for r in files.read_files(spark, given).collect()}
+    assert found == {"11.png": 0, "x/1.png": 1, "1.png": 2}
+
+
+def load_reader():
+    LOADS.append(1)
+    return lambda image, prompt: f"{image.decode()} {len(LOADS)}"
+
+
+LOADS = []
+
+
+def test_models_are_loaded_once():
+    read, again = ocr.once_per_worker(load_reader), ocr.once_per_worker(load_reader)
+    assert [read(b"a", ""), read(b"b", ""), again(b"c", "")] == ["a 1", "b 1", "c 1"]
+
+
+def test_command_line(spark, texts, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "reader.py").write_text("def read(image, prompt):\n    return image.decode()\n")
+    (tmp_path / "a.png").write_bytes(b"Q1: What is it?")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", f"{spark.sparkContext.environment['PYTHONPATH']}:{tmp_path}")
+    assert pipelines.main([]) == 1
+    assert pipelines.main(["--samples"]) == 0
+    assert pipelines.main(["--text", str(texts), "-o", str(tmp_path / "o")]) == 0
+    assert (tmp_path / "o/results/name=one").is_dir()
+    assert pipelines.main([str(tmp_path / "a.png"), "--ocr", "reader:read", "-o", str(tmp_path / "p"), "--rows"]) == 0
+    assert spark.read.json(str(tmp_path / "p/questions")).first()["text"] == "Q1: What is it?"
+    with pytest.raises(SystemExit):
+        pipelines.main([str(tmp_path / "a.png")])
+    assert "Storage Layer" in capsys.readouterr().out
+
+
+def test_models_get_the_messages(spark):
+    rows = spark.createDataFrame([(1, 0, "so it goes on and on")], "doc_id long, block_id long, text string")
+
+    def reply(chats):
+        assert [m["role"] for m in chats[0]] == ["system", "user"] and chats[0][1]["content"].endswith("so it goes on and on")
+        return ["answer"] * len(chats)
+
+    assert label.label_blocks(rows, reply_fn=reply, chat=True).first()["label"] == "answer"
+
+
+def test_options_come_from_the_settings(spark, tmp_path):
+    config = Config()
+    config.tree["text_processing"] |= {"fix_duplicate": True, "remove_bounding_boxes": False}
+    options = TextOptions.of(config)
+    assert (options.fix_duplicate, options.remove_bounding_boxes, options.chunk_overlap) == (True, False, 50)
+    docs = spark.createDataFrame([(1, "it was the,\nPage 2\nend of it.\n<|ref|>x")], "doc_id long, text string")
+    kept = pipelines.full_text_pipeline(docs, options=options)[0]
+    assert [r["line"] for r in kept.orderBy("line_idx").collect()] == ["it was the, end of it.", "<|ref|>x"]
+    assert pipelines.text_to_jsonl(docs, str(tmp_path / "j")).first()["total_lines"] == 3
+    assert pipelines.text_to_csv(docs, str(tmp_path / "c"), False).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["text"]
+
+
 def test_images_in_memory(spark):
     images = spark.createDataFrame([(1, bytearray(b"image")), (2, None)], "doc_id long, content binary")
     found = {r["doc_id"]: r for r in ocr.extract(files.in_memory(images), lambda image, prompt: image.decode()).collect()}
@@ -97,7 +195,7 @@ def test_logging(tmp_path):
     log = setup_logging(str(tmp_path / "logs"))
     log.info("hello")
     logging.shutdown()
-    assert "hello" in next((tmp_path / "logs").glob("classification_*.log")).read_text()
+    assert "hello" in next((tmp_path / "logs").glob("folio-*.log")).read_text()
 
 
 def test_page_limit(spark):

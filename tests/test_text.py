@@ -102,3 +102,22 @@ def test_decomposition_is_the_standard_one(column):
 
 def test_sentences(column):
     assert column(clean.split_sentences, ["One. Two!  Three? four", ""]) == [["One.", "Two!", "Three? four".split(" ")[0], "four"], []]
+
+
+def test_very_long_lines_meet_every_rule(column):
+    """A megabyte of what each rule is likely to step over again and again."""
+    size = 1 << 20
+    lines = ["x " * (size // 2) + "y", "a" + " " * size + "b", " " * size, "x" * size, "Q" + " " * size + "z", "1" * size, "-" * size + "z", "a " * (size // 2), "so\t" + "\n" * 2_000 + "on"]
+    for make in (P.is_page_marker, P.is_incomplete, P.zero_shot_start, P.few_shot_start, P.few_shot_standalone):
+        assert len(column(make, lines)) == len(lines)
+    assert column(P.few_shot_label, lines)[0] is None
+    assert column(P.few_shot_label, ["x " * (size // 2) + "o", "x" * size, "x x\to  ", "x o xx", "o"]) == ["metadata"] * 3 + [None] * 2
+    for make in (P.line_type, P.zero_shot_label, clean.fix_spacing, clean.word_corrections, clean.capitalize_sentences, clean.remove_noise, strip):
+        assert len(column(make, lines)) == len(lines)
+    assert column(strip, ["a" + " " * size + "b" + " " * size, " " * size])[1] == ""
+
+
+def test_capitals_after_any_white_space(column):
+    assert column(clean.capitalize_sentences, [" a. b", "a.   b!\n\nc? d", "i am. " + " " * 100 + "so i do", "e.g. 5. X.y", "", "ß. ß"]) == [
+        " a. B", "A.   B!\n\nC? D", "I am. " + " " * 100 + "So I do", "E.g. 5. X.y", "", "SS. ß",
+    ]
