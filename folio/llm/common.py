@@ -16,11 +16,14 @@ def scratch_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of this machine is used.
+    and driver and executors are one process (tests) a folder of this machine is
+    used.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="folio-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -34,6 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def open_store(uri: str):
+    """(file system, path) of a folder in the shared store, for Python workers."""
+    from pyarrow import fs
+
+    for own, known in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        uri = known + uri[len(own) :] if uri.startswith(own) else uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, scratch_path, slices
+from .common import open_store, saved, scratch_path, slices
 
 DATE = "2024-01-01T00:00:00Z"
 #: An empty gzip member: header, empty deflate block, zero checksum and length.
@@ -156,8 +156,8 @@ def write_archive(
     return saved(index, "warc-index")
 
 
-def read_records(index: DataFrame, base: str, gap: int = 1 << 16, most: int = 8 << 20, check: bool = True) -> DataFrame:
-    """Read the records of the given index rows.
+def read_records(index: DataFrame, base: str, gap: int = 1 << 16, most: int = 8 << 20, check: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
+    """Read the records of the given index rows, about ``task_bytes`` a task.
 
     Ranges of a file that lie within ``gap`` bytes are fetched by one read of up
     to ``most`` bytes (a longer record is read alone). The payload of a response
@@ -167,7 +167,7 @@ def read_records(index: DataFrame, base: str, gap: int = 1 << 16, most: int = 8
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(base)
+        store, root = open_store(base)
         handle, name = None, None
         for batch in batches:
             rows = batch.to_pydict()
@@ -206,7 +206,8 @@ def read_records(index: DataFrame, base: str, gap: int = 1 << 16, most: int = 8
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    ordered = index.select("shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    ordered = index.select("shard", "offset", "length").repartitionByRange(int(tasks), "shard", "offset").sortWithinPartitions("shard", "offset")
     return ordered.mapInArrow(read, READ_SCHEMA)
 
 

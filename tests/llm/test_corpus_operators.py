@@ -259,6 +259,48 @@ def test_search_matches_brute_force(spark, size):
     assert top_k.search(table, asked.limit(0)).count() == 0
 
 
+def test_search_skips_postings_and_loses_nothing():
+    """On words as frequent as in texts, more than half of the queries' postings are never read."""
+    rng = np.random.default_rng(11)
+    shares = 1 / np.arange(1, 8_001)
+    texts = [" ".join(f"t{w}" for w in rng.choice(8_000, int(rng.integers(60, 200)), p=shares / shares.sum())) for _ in range(2_500)]
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    rows = [top_k.packed([top_k.Piece.of(list(range(a, a + 500)), texts[a : a + 500])]) for a in range(0, 2_500, 500)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    words = sorted(df)
+    number = {w: int(top_k.words([w])[0][0]) for w in words}
+    vocabulary = np.array(sorted(number.values()), np.uint64)
+    idf = np.zeros(len(words))
+    for w in words:
+        idf[np.searchsorted(vocabulary, np.uint64(number[w]))] = math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5))
+    asked = [np.unique([np.searchsorted(vocabulary, np.uint64(number[w])) for w in set(texts[q].split())]) for q in range(0, 2_500, 100)]
+    block = top_k.QueryBlock(0, np.arange(len(asked)), np.cumsum([0, *map(len, asked)]), np.concatenate(asked).astype(np.int32), vocabulary, idf, np.zeros((len(asked), 5)))
+    shards = [top_k.Shard([row], mean) for row in rows]
+    found = {}
+    for number_, shard in enumerate(shards):
+        query, doc, score = shard.search(block, 5)
+        for q, d, s in zip(query.tolist(), doc.tolist(), score.tolist(), strict=True):
+            found.setdefault(q, []).append((-s, int(shard.ids[shard.id_begin[d]])))
+    expected = search_slowly(list(enumerate(texts)), [(q, texts[100 * q]) for q in range(len(asked))], 5)
+    for q, best in expected.items():
+        mine = sorted((round(s, 7), i) for s, i in found[q])[:5]
+        assert [i for _, i in mine] == [i for _, i in best]
+    later = shards[1:]  # the first shard begins without a threshold
+    assert sum(s.walked for s in later) < 0.5 * sum(s.listed for s in later)
+
+
+def test_search_of_many_copies_and_the_largest_id(spark):
+    same = "alpha beta gamma"
+    docs = [((1 << 63) - 1 - i, same) for i in range(40)] + [(None, same), (3, "alpha"), (4, "delta")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, same), (2, same), ((1 << 63) - 1, "gamma alpha")], "query_id long, text string")
+    rows = top_k.search(table, asked, 4).orderBy("query_id", "rank").collect()
+    smallest = sorted(i for i, _ in docs if i is not None and i > 9)[:4]
+    assert [(r["query_id"], r["doc_id"]) for r in rows] == [(q, d) for q in (1, 2, (1 << 63) - 1) for d in smallest]
+    few = top_k.search(table.where("doc_id is null or doc_id = 3"), asked.limit(1), 4).orderBy("rank").collect()
+    assert [r["doc_id"] for r in few] == [None, 3]
+
+
 # ---------------------------------------------------------------------- mixing
 
 
@@ -306,6 +348,26 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(docs.repartition(5)).collect()))
 
 
+def test_each_document_draws_with_its_sources_fraction(spark):
+    """Over many seeds (names of the source) a document is taken as often as the fraction says, and totals stay near the target."""
+    sizes = [1 + (7 * i) % 40 for i in range(60)]
+    rows = [(i, "w " * n, f"{seed:03}") for seed in range(150) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame([(1000 * int(s) + i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    taken, rates = Counter(), {}
+    for r in got:
+        taken[r["doc_id"] // 1000] += r["taken"]
+        rates[r["doc_id"] // 1000] = r["target"] / r["source_size"]
+    extra = Counter()
+    for r in got:
+        rate = rates[r["doc_id"] // 1000]
+        extra[r["doc_id"] % 1000] += r["taken"] // r["size"] - int(rate) - (rate - int(rate))
+    for seed, rate in rates.items():
+        assert abs(taken[seed] - rate * sum(sizes)) <= 1.5 * max(sizes)
+    # Each sum over 150 seeds of what was drawn less what was due has a spread of at most 6.2.
+    assert max(abs(x) for x in extra.values()) < 4 * 6.2
+
+
 def test_mix_emits_the_copies_that_the_report_counts(spark):
     _, docs = mixed_table(spark)
     out = mixing.mix(docs)
