@@ -186,6 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
 
 
 def score(docs: DataFrame, model: RuleModel, output: str = "score") -> DataFrame:
-    """Add the score to each row, in place of a column of that name."""
+    """Add the score to each row, in place of a column of that name.
+
+    The statistics go through a generator, whose output the optimizer puts into no
+    filter on the score; else each rule would compute them again.
+    """
     kept = columns(others(docs, [output]))
-    return statistics(docs.select(*kept)).select(*kept, model.column().alias(output))
+    measured = F.inline(F.array(F.struct(*[F.col(f"__q_{s}") for s in STATISTICS])))
+    return statistics(docs.select(*kept)).select(*kept, measured).select(*kept, model.column().alias(output))
