@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, columns, free
+from .common import add_columns, columns, free, saved
 from .textcode import SHINGLE, hash_parameters, minhash, shingle_sets, shingles, words
 
 HASHES = 64
@@ -171,12 +171,14 @@ def item_blocks(items: DataFrame, threshold: float, most_items: int, most_chars:
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, most_items: int = 20_000, most_chars: int = 32_000_000, name: str = "leaks") -> DataFrame:
     """Add an array of (item_id, containment) to each row of ``docs``.
 
-    Items are broadcast in blocks of about ``most_items`` and ``most_chars``;
-    more of them mean more passes of Python over the documents' rows, not more
-    memory.
+    Items are broadcast in blocks of about ``most_items`` and ``most_chars``. More of
+    them mean more passes over the documents, each written before the next, so that
+    a task holds the index of one block only.
     """
     out, spare = docs, free(docs, name + "_more")
     for number, index in enumerate(item_blocks(items, threshold, most_items, most_chars)):
+        if number:
+            out = saved(out, "leaks")
         shared = docs.sparkSession.sparkContext.broadcast(index)
         column = name if number == 0 else spare
         out = add_columns(out, ["text"], T.StructType([T.StructField(column, LEAKS)]), lambda texts, shared=shared: [shared.value.leaks(texts)])

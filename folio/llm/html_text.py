@@ -11,11 +11,13 @@ more, at its own level or beside a parent, the choice is lifted to the parent.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms and comments are
 left out wherever the tag, role, class or id names them. What a tag, a role or
-``hidden`` names is never read. A class or id only lowers the points of what it
-names, and counts when the choice is made: it leaves out no element that has a
+``hidden`` names is never read. A class or id lowers the points of the block that
+it names, and counts when the choice is made: it leaves out no element that has a
 wanted name too, holds the article, or is a layout's wrapper with more than half
 of the text, and nothing at all where otherwise no text, or headings only, would
-be left.
+be left. A name counts as a whole: all its parts must be known ones ("related-posts",
+not "social-history"), and names of inline elements never count. Comments without
+such a name are known by their heading, if they end the article.
 
 Defined results: a null or empty page, or one without text, gives "". Character
 references are decoded once; white space inside a block becomes one space; blocks
@@ -66,9 +68,17 @@ UNWANTED = frozenset(
     share sharing social follow comment comments commentlist reply replies respond disqus discussion related
     recommended recommendations widget widgets pager pagination toolbar skip search paywall disclaimer copyright""".split()
 )
+#: Parts of names that say where or how, and so take nothing from an unwanted part beside them.
+NEUTRAL = frozenset(
+    """site page main box list lists wrap wrapper container area block section inner outer left right top bottom center
+    item items link links post posts article articles story stories bar panel col column row group global primary secondary
+    mobile desktop sticky fixed small large big text title heading form button buttons icons thread count new wp js the""".split()
+)
+#: Headings of readers' comments.
+COMMENTS = re.compile(r"(?:\d+\s+)?(?:(?:reader|user)s?'?\s+)?(?:comments?|replies|responses)(?:\s*\(\d+\)|\s+\d+)?|leave a (?:reply|comment)|post a comment", re.I)
 #: Names that also stand on wrappers of a whole page.
 LAYOUT = frozenset("nav navbar navigation menu menus sidebar sidenav aside rail footer foot header masthead topbar banner widget widgets toolbar search overlay modal".split())
-#: First parts of names that tell a state ("no-sidebar", "has-menu"), not what an element is.
+#: Parts of names that tell a state ("no-sidebar", "has-menu"), not what an element is.
 STATES = frozenset("no not has with without hide".split())
 #: Points of text in an element with an unwanted name.
 WEAK = 0.25
@@ -100,6 +110,7 @@ def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, floa
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False, 0, bonus
     parts: set[str] = set()
+    wanted = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -113,15 +124,13 @@ def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, int, floa
             bonus += 25 * (value.lower() in ("main", "article"))
         else:
             for word in value.split():
-                said = [x.lower() for x in NAME_PART.findall(word)]
-                if said and said[0] not in STATES:
-                    parts.update(said)
-    wanted = bool(parts & WANTED)
+                said = {x.lower() for x in NAME_PART.findall(word)}
+                wanted |= bool(said & WANTED) and not said & STATES
+                if said <= UNWANTED | NEUTRAL:
+                    parts |= said & UNWANTED
     if tag in ("html", "body", "article", "main"):
         return False, 0, bonus + 25 * wanted
-    named = parts & UNWANTED
-    if in_article:
-        named -= HEADERS
+    named = parts - HEADERS if in_article else parts
     if not named:
         return False, 0, bonus + 25 * wanted
     return False, 1 if wanted else 2 if named <= LAYOUT else 3, bonus
@@ -149,7 +158,7 @@ def read(page: str, by_name: bool) -> tuple[list[str], bool]:
     buffer: list[str] = []
     linked = 0
     in_link = hidden = in_article = 0
-    hidden_inline: list[tuple[int, bool]] = []  # (open inline elements, left out by name)
+    hidden_inline: list[int] = []  # how many inline elements were open with each that is left out
 
     def flush() -> None:
         nonlocal buffer, linked
@@ -170,7 +179,7 @@ def read(page: str, by_name: bool) -> tuple[list[str], bool]:
             name, _ = inline.pop()
             if name == "a":
                 in_link -= 1
-            if hidden_inline and hidden_inline[-1][0] > len(inline):
+            if hidden_inline and hidden_inline[-1] > len(inline):
                 hidden_inline.pop()
                 hidden -= 1
 
@@ -212,7 +221,7 @@ def read(page: str, by_name: bool) -> tuple[list[str], bool]:
                     if inline[i][0] == name:
                         del inline[i]
                         in_link -= name == "a"
-                        if hidden_inline and hidden_inline[-1][0] > len(inline):
+                        if hidden_inline and hidden_inline[-1] > len(inline):
                             hidden_inline.pop()
                             hidden -= 1
                         break
@@ -255,10 +264,6 @@ def read(page: str, by_name: bool) -> tuple[list[str], bool]:
                         break
             flush()
             gone, called, extra = judged(name, m[3], in_article > 0)
-            if name in ("article", "main") and hidden_inline:  # no name hides an article
-                hard = [h for h in hidden_inline if not h[1]]
-                hidden -= len(hidden_inline) - len(hard)
-                hidden_inline[:] = hard
             parent.append(stack[-1])
             tags.append(name)
             bonus.append(extra)
@@ -268,20 +273,43 @@ def read(page: str, by_name: bool) -> tuple[list[str], bool]:
             hidden += gone
             in_article += name in ("article", "main")
         else:
-            gone, called, _ = judged(name, m[3], in_article > 0) if m[3] or name in LEFT_OUT else (False, 0, 0)
+            gone = bool(m[3] or name in LEFT_OUT) and judged(name, m[3], in_article > 0)[0]
             inline.append((name, len(stack)))
             if name == "a":
                 in_link += 1
-            if gone or by_name and called > 1:
+            if gone:
                 hidden += 1
-                hidden_inline.append((len(inline), not gone))
+                hidden_inline.append(len(inline))
     flush()
     if not blocks:
         return [], False
-    kept = chosen(parent, tags, bonus, named, blocks)
+    kept = without_comments(chosen(parent, tags, bonus, named, blocks), parent, tags)
     return [text for _, text, _ in kept], any(not HEADING.fullmatch(tags[element]) for element, _, _ in kept)
 
 
+def without_comments(kept: list[tuple[int, str, int]], parent: list[int], tags: list[str]) -> list[tuple[int, str, int]]:
+    """The blocks before the comments: those under a comments' heading that no like or higher heading follows.
+
+    They go up to the end of the element that the heading stands in; what follows
+    that element stays.
+    """
+    for at, (element, text, _) in enumerate(kept):
+        if not at or not HEADING.fullmatch(tags[element]) or not COMMENTS.fullmatch(text.strip(" :")):
+            continue
+        around, last = parent[element], at + 1
+        while last < len(kept) and inside(kept[last][0], around, parent):
+            last += 1
+        if not any(HEADING.fullmatch(tags[e]) and tags[e] <= tags[element] for e, _, _ in kept[at + 1 : last]):
+            return kept[:at] + kept[last:]
+    return kept
+
+
+def inside(element: int, around: int, parent: list[int]) -> bool:
+    while element > around:
+        element = parent[element]
+    return element == around
+
+
 def chosen(parent: list[int], tags: list[str], bonus: list[float], named: list[int], blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """The blocks in the best element and its good siblings."""
     n = len(parent)
@@ -325,11 +353,11 @@ def chosen(parent: list[int], tags: list[str], bonus: list[float], named: list[i
     else:
         best = whole(best, parent, tags, named, chars, links, density)
     # A box with an unwanted name goes, unless it holds what may be the article.
-    inside = [False] * n
-    inside[best] = True
+    within = [False] * n
+    within[best] = True
     for i in range(best + 1, n):
-        inside[i] = inside[parent[i]]
-    has_article = tags[best] == "article" or any(inside[i] and tags[i] == "article" and chars[i] and not weak[i] for i in range(n))
+        within[i] = within[parent[i]]
+    has_article = tags[best] == "article" or any(within[i] and tags[i] == "article" and chars[i] and not weak[i] for i in range(n))
     goes = [named[i] > 1 and (has_article or not holds[i]) for i in range(n)]
     keep = [False] * n
     least = 0.2 * score[best]

@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, saved
 from .textcode import flat
 
 BLOCK = 512
+CELLS = 16_000_000
 UNKNOWN = "und"
 
 @cache
@@ -162,28 +163,25 @@ class LanguageModel:
         return [names, np.where(has_letter, score, 0.0).tolist()]
 
 
-def fit(labelled: DataFrame, sample_chars: int = 24_000, sample_docs: int = 200, most_languages: int = 64) -> LanguageModel:
+def fit(labelled: DataFrame, sample_chars: int = 24_000, sample_docs: int = 200, total_chars: int = 2_000_000) -> LanguageModel:
     """Learn from ``text, lang`` (and ``doc_id``, which only orders the sample).
 
     A bounded sample of texts with a letter: of each language about ``sample_docs``
     different texts (all, if there are no more) are drawn by a hash of the text,
     each once however many copies it has, and of these whole texts are taken until
     ``sample_chars`` letters are reached. What is still missing then comes from the
-    beginnings of longer texts. At most ``most_languages`` labels are accepted.
+    beginnings of longer texts. Every labelled language is learned, however rare; of
+    many languages each gets its share of ``total_chars`` (500 letters at least), and
+    a language of very many letters as much as ``CELLS`` entries of a table hold.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
     different = known.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
-    counts = {r["lang"]: (r["n"], r["least"]) for r in different.limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages are labelled")
-    if not counts:
-        return LanguageModel([], [])
-    last = (1 << 63) - 1
-    share = F.lit(-1).cast("long")
-    for lang, (n, least) in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(last, max(least, sample_docs * last // n))).cast("long")).otherwise(share)
+    part = F.when(F.col("n") <= sample_docs, F.lit((1 << 63) - 1)).otherwise(F.expr(f"{(1 << 63) - 1}L div n") * sample_docs)
+    # One row for each language; there is an automaton for each in every worker anyway.
+    shares = saved(different.select("lang", F.greatest("least", part).alias("share")), "language-shares")
+    sample_chars = max(500, min(sample_chars, total_chars // max(1, shares.count())))
     begun = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, 4 * sample_chars)
-    drawn = known.where(F.col("h") <= share).select("lang", "h", begun.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    drawn = known.join(F.broadcast(shares), "lang").where("h <= share").select("lang", "h", begun.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rows = sorted((r["lang"], r["h"], r["text"]) for r in drawn.collect())
     parts: dict[str, list[np.ndarray]] = {}
     seen: set[tuple[str, bytes]] = set()
@@ -199,7 +197,13 @@ def fit(labelled: DataFrame, sample_chars: int = 24_000, sample_docs: int = 200,
                 parts.setdefault(lang, []).append(codes[: sample_chars - got] if spare else codes)
     languages = sorted(parts)
     gap = np.array([32], np.uint32)
-    return LanguageModel(languages, [Automaton.of(np.concatenate([x for p in parts[la] for x in (p, gap)])) for la in languages])
+    return LanguageModel(languages, [Automaton.of(bounded(np.concatenate([x for p in parts[la] for x in (p, gap)]))) for la in languages])
+
+
+def bounded(sample: np.ndarray) -> np.ndarray:
+    """As much of a sample as its automaton's table has room for (two states a letter at most)."""
+    most = max(256, CELLS // (2 * (len(np.unique(sample)) + 1)))
+    return sample[:most]
 
 
 def identify(docs: DataFrame, model: LanguageModel, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -5,6 +5,12 @@ word beginnings of a text; each model also gets the probabilities of the
 categories before it. In training those are out-of-fold predictions, so that a
 later model sees earlier ones as wrong as they will be on new texts.
 
+A labelled category's severe cases are a category of their own, ahead of it in the
+chain: those labelled positive whose words speak for the category at least as
+clearly as those of half the positives. How clearly a word speaks is learned from
+the labels as well (its log odds among positive and other rows); no list of words
+is given.
+
 Defined results: a null or empty text has no features and gets the chain's
 intercepts. Labels that are null are not learned from. A category without
 positive (or without negative) labels predicts its share. Ties in the choice of
@@ -15,7 +21,6 @@ pass through.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -153,32 +158,59 @@ def features(text):
     return F.array_distinct(F.concat(words, *stems))
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    categories: list[str],
-    derive: Callable[[DataFrame], DataFrame] | None = None,
-    most_rows: int = 8_000,
-    most_features: int = 1_500,
-) -> ToxicityChain:
-    """Learn a chain over ``categories``, in chain order.
+def severe(rows: np.ndarray, columns: np.ndarray, width: int, y: np.ndarray) -> np.ndarray:
+    """Which positives have, as a mean over their words that speak for the category, log odds of the positives' median or more."""
+    yes = np.bincount(columns, y[rows], width)
+    all_ = np.bincount(columns, minlength=width)
+    odds = np.log((yes + 1) / (y.sum() + 2)) - np.log((all_ - yes + 1) / (len(y) - y.sum() + 2))
+    said = odds[columns] > 0
+    count = np.bincount(rows[said], minlength=len(y))
+    clear = np.bincount(rows[said], odds[columns[said]], len(y)) / np.maximum(count, 1)
+    positive = y > 0
+    return (positive & (clear >= np.median(clear[positive]))).astype(float) if positive.any() else np.zeros(len(y))
+
+
+def out_of_fold(rows: np.ndarray, columns: np.ndarray, width: int, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Each row's probability by a model that was fitted without the row's fold."""
+    out = np.zeros(len(y))
+    for k in np.unique(fold):
+        train, test = fold != k, fold == k
+        if not train.any():
+            continue
+        at, use = np.cumsum(train) - 1, train[rows]
+        model = fit_linear(at[rows[use]], columns[use], int(train.sum()), width, earlier[train], y[train])
+        at, use = np.cumsum(test) - 1, test[rows]
+        out[test] = model.probability(at[rows[use]], columns[use], int(test.sum()), earlier[test])
+    return out
+
+
+def fit_chain(names: list[str], vocabulary: dict[str, int], rows: np.ndarray, columns: np.ndarray, ys: list[np.ndarray], fold: np.ndarray) -> ToxicityChain:
+    """A chain over categories with labels ``ys``; a link is fitted on out-of-fold probabilities of the links before it."""
+    n = len(fold)
+    earlier = np.zeros((n, 0))
+    models, thresholds = [], []
+    for y in ys:
+        models.append(fit_linear(rows, columns, n, len(vocabulary), earlier, y))
+        out = out_of_fold(rows, columns, len(vocabulary), earlier, y, fold)
+        thresholds.append(best_threshold(out, y))
+        earlier = np.column_stack([earlier, out])
+    return ToxicityChain(names, vocabulary, models, thresholds)
+
 
-    Categories are 0/1 columns of ``labels``, or columns that ``derive`` adds to
-    the labelled rows (which then have text and labels).
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows: int = 8_000, most_features: int = 1_500) -> ToxicityChain:
+    """Learn a chain over ``categories``, 0/1 columns of ``labels``, in chain order, each after its severe cases.
 
     At most about ``most_rows`` labelled rows, drawn by a hash of doc_id, are
     learned from (being bounded they may be broadcast and collected as feature
     numbers), and ``most_features`` words or beginnings.
     """
-    given = [c for c in labels.columns if c != "doc_id" and (derive or c in categories)]
-    known = labels.select("doc_id", *given).dropna()
+    known = labels.select("doc_id", *categories).dropna()
     n = known.count()
     if n > most_rows:
         scale = 1 << 30
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most_rows * scale // n)
     ys = [f"__y_{c}" for c in categories]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = derive(rows) if derive else rows
     sample = saved(rows.select("doc_id", "text", *[F.col(c).cast("double").alias(y) for c, y in zip(categories, ys, strict=True)]), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).first()
     used = sample.select(F.explode(features(F.col("text"))).alias("feature"), *ys).groupBy("feature")
@@ -203,25 +235,11 @@ def fit(
     columns = np.array([f for r in data for f in r[-1]], np.int64)
     rows = np.repeat(np.arange(count), [len(r[-1]) for r in data]) if count else np.zeros(0, np.int64)
     fold = np.random.default_rng(0).permutation(count) % FOLDS
-    earlier = np.zeros((count, 0))
-    models, thresholds = [], []
-    for j in range(len(categories)):
+    chained: dict[str, np.ndarray] = {}
+    for j, category in enumerate(categories):
         y = np.array([r[1 + j] for r in data])
-        models.append(fit_linear(rows, columns, count, len(names), earlier, y))
-        out = np.zeros(count)
-        for k in range(FOLDS):
-            train, test = fold != k, fold == k
-            if not test.any() or not train.any():
-                continue
-            at = np.cumsum(train) - 1
-            use = train[rows]
-            m = fit_linear(at[rows[use]], columns[use], int(train.sum()), len(names), earlier[train], y[train])
-            at = np.cumsum(test) - 1
-            use = test[rows]
-            out[test] = m.probability(at[rows[use]], columns[use], int(test.sum()), earlier[test])
-        thresholds.append(best_threshold(out, y))
-        earlier = np.column_stack([earlier, out])
-    return ToxicityChain(categories, vocabulary, models, thresholds)
+        chained |= {f"severe_{category}": severe(rows, columns, len(names), y), category: y}
+    return fit_chain(list(chained), vocabulary, rows, columns, list(chained.values()), fold)
 
 
 def feature_lists(texts: list[str | None], vocabulary: dict[str, int]) -> list[list[int]]:

@@ -133,6 +133,23 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identify(tests, empty).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Seventy languages of a few texts each, one of them written with thousands of letters."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(70):
+        letters = [chr(97 + (k + j) % 26) for j in range(4)] + [chr(0x400 + 2 * k), chr(0x4E00 + k)]
+        words = ["".join(letters[i] for i in rng.integers(0, 6, 5)) for _ in range(40)]
+        rows += [(100 * k + i, " ".join(words[j] for j in rng.integers(0, 40, 30)), f"l{k:02}") for i in range(3)]
+    rows += [(9000, "".join(chr(0x4E00 + i % 9000) for i in range(20_000)), "wide")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(labelled)
+    assert len(model.languages) == 71 and max(len(a.table) for a in model.automata) <= language_id.CELLS * 1.01
+    got = language_id.identify(labelled, model)
+    assert got.where("lang = lang_pred").count() >= 0.95 * len(rows)
+    assert len(language_id.fit(labelled, total_chars=70_000).languages) == 71
+
+
 def test_copies_and_long_texts_are_learned(spark):
     few = [f"{DE} {w}" for w in ("eins", "zwei", "drei", "vier")]
     copies = spark.range(20_000).selectExpr("id AS doc_id", "element_at(array(%s), cast(id %% 4 AS int) + 1) AS text" % ", ".join(f"'{t}'" for t in few), "'de' AS lang")
@@ -183,6 +200,68 @@ def test_quality_edge_cases(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_rules_are_paths_and_their_weights_the_lasso_optimum():
+    rng = np.random.default_rng(4)
+    x = np.zeros((600, len(quality.STATISTICS)))
+    x[:, :3] = rng.random((600, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] <= 0.7) ^ (rng.random(600) < 0.05)).astype(float)
+    penalty = 0.004
+    model = quality.fit_rules(x, y, trees=6, penalty=penalty, steps=6000)
+    assert 0 < len(model.rules) < 60
+    assert all(1 <= len(rule) <= 3 for rule in model.rules)
+    # Optimal: for a rule that is kept the slope of the loss is the penalty against its sign, and the intercept's is zero.
+    wrong = model.scores(x) - y
+    for rule, weight in zip(model.rules, model.weights, strict=True):
+        assert (quality.holds(rule, x) * wrong).mean() == pytest.approx(-np.sign(weight) * penalty, abs=2e-4)
+    assert wrong.mean() == pytest.approx(0, abs=2e-4)
+    # Every rule is a path of a tree that plain recursion over all cuts grows too.
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 34)[1:-1])) for j in range(x.shape[1])]
+    assert all(min(abs(cuts[at] - threshold)) < 1e-12 for rule in model.rules for at, _, threshold in rule)
+
+
+def gain_slowly(x, cuts, grad, hess, least):
+    best = (0.0, None, None)
+    for at in range(x.shape[1]):
+        for cut in cuts[at]:
+            below = x[:, at] <= cut
+            if least <= below.sum() <= len(x) - least:
+                g, h = grad[below].sum(), hess[below].sum()
+                gain = g**2 / (h + 1) + (grad.sum() - g) ** 2 / (hess.sum() - h + 1) - grad.sum() ** 2 / (hess.sum() + 1)
+                if gain > best[0] + 1e-12:
+                    best = (gain, at, cut)
+    return best[1:]
+
+
+def test_trees_split_where_the_gain_is_largest():
+    rng = np.random.default_rng(8)
+    x = rng.random((200, 3))
+    grad, hess = (x[:, 1] > 0.4) - 0.5 + 0.1 * rng.random(200), np.full(200, 0.25)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 12)[1:-1])) for j in range(3)]
+    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+    nodes = quality.grow(x, binned, cuts, grad, hess, 2, 5)
+    for rule, rows, step, leaf in nodes:
+        assert sorted(rows) == sorted(np.flatnonzero(quality.holds(rule, x)))
+        assert step == pytest.approx(-grad[rows].sum() / (hess[rows].sum() + 1))
+        children = [r for r, *_ in nodes if len(r) == len(rule) + 1 and r[: len(rule)] == rule]
+        assert leaf == (not children)
+        if children:
+            at, _, cut = children[0][-1]
+            assert (at, cut) == gain_slowly(x[rows], cuts, grad[rows], hess[rows], 5)
+
+
+def test_no_filter_computes_the_statistics(spark):
+    """A filter on the score holds no regular expression, however many rules there are."""
+    docs = spark.createDataFrame([(1, "a b c.", "x"), (2, None, "y")], "doc_id long, text string, score string")
+    for n in (1, 40):
+        model = quality.RuleModel(0.1, [((i % 11, True, float(i)),) for i in range(n)], [0.1] * n)
+        kept = quality.score(docs, model).where("score >= 0.3")
+        assert kept.count() == 2
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert filters and not any("regexp" in line for line in filters)
+        assert plan.count("regexp_replace") <= 8
+
+
 # -------------------------------------------------------------------- toxicity
 
 
@@ -207,6 +286,50 @@ def test_toxicity_chain(spark):
     assert toxicity.predict(docs.limit(0), none).count() == 0
 
 
+def dense(rows, columns, n, width):
+    x = np.zeros((n, width))
+    x[rows, columns] = 1
+    return x
+
+
+def test_a_link_reaches_the_optimum_and_sees_others_out_of_fold(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, width = 240, 12
+    x = rng.random((n, width)) < 0.3
+    rows, columns = np.nonzero(x)
+    first = (x[:, 0] | (rng.random(n) < 0.2)).astype(float)
+    second = (x[:, 0] & x[:, 1] | (rng.random(n) < 0.1)).astype(float)
+    fold = np.arange(n) % 4
+    # The slope of the penalised loss is zero at the fitted weights.
+    earlier = rng.random((n, 1))
+    model = toxicity.fit_linear(rows, columns, n, width, earlier, first)
+    all_ = np.column_stack([dense(rows, columns, n, width), earlier - 0.5])
+    p = 1 / (1 + np.exp(-(all_ @ model.weights + model.intercept)))
+    assert np.abs(all_.T @ (p - first) / n + 1e-5 * model.weights).max() < 1e-3 and abs((p - first).mean()) < 1e-3
+    # What the second link learns from are predictions of models that did not see the row's fold.
+    seen = []
+    plain = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda *a, **k: seen.append(a) or plain(*a, **k))
+    toxicity.fit_chain(["a", "b"], {str(i): i for i in range(width)}, rows, columns, [first, second], fold)
+    whole = [a for a in seen if a[2] == n]
+    assert [a[4].shape[1] for a in whole] == [0, 1]
+    design = dense(rows, columns, n, width)
+    for k in range(4):
+        test = fold == k
+        r, c = np.nonzero(design[~test])
+        own = plain(r, c, int((~test).sum()), width, np.zeros((int((~test).sum()), 0)), first[~test])
+        expected = 1 / (1 + np.exp(-(design[test] @ own.weights + own.intercept)))
+        assert whole[1][4][test, 0] == pytest.approx(expected, abs=1e-9)
+
+
+def test_severe_cases_are_the_clearer_half():
+    # Two words speak for the category: word 1 only in positives, word 0 also elsewhere.
+    y = np.array([1, 1, 1, 1, 0, 0, 0, 0, 0, 0.0])
+    rows, columns = np.array([0, 1, 2, 3, 4]), np.array([0, 0, 1, 1, 0])
+    assert toxicity.severe(rows, columns, 2, y).tolist() == [0, 0, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert toxicity.severe(rows[:0], columns[:0], 2, np.zeros(3)).tolist() == [0, 0, 0]
+
+
 # ------------------------------------------------------------------------- URL
 
 RULES = [("com", "/en/", "block"), ("Example.com", "/en/7", "allow"), ("net", "", "block"), (None, "/", "block"), ("x.org", "/a", "block"), ("x.org", "/a", "allow")]
