@@ -28,11 +28,12 @@ MARKDOWN = [
     (r"[ \t]+", " ", False),
     (r"\n{3,}", "\n\n", False),
 ]
-#: Characters mistaken by recognition, in order.
-CHARACTERS = [(r"\bl\b", "I"), (r"0(?=[a-zA-Z])", "O"), (r"(?<=[a-zA-Z])0", "o"), (r"rn", "m"), (r"vv", "w"), (r"\|", "I"), (r"`", "'")]
+#: Characters mistaken by recognition, in order: rules, then plain strings.
+CHARACTERS = [(r"\bl\b", "I"), (r"0(?=[a-zA-Z])", "O"), (r"0(?<=[a-zA-Z]0)", "o")]
+PLAIN = [("rn", "m"), ("vv", "w"), ("|", "I"), ("`", "'")]
 #: Words mistaken by recognition, in order, whatever their case.
 WORDS = [
-    (r"\btbe\b", "the"), (r"\bteh\b", "the"), (r"\bwiht\b", "with"), (r"\bwhcih\b", "which"),
+    (r"\bt(?:be|eh)\b", "the"), (r"\bwiht\b", "with"), (r"\bwhcih\b", "which"),
     (r"\bthat\s+is\b", "that is"), (r"\bi\s+am\b", "I am"), (r"\bi\s+have\b", "I have"),
 ]
 #: Marks of page breaks, in order, whatever their case. One more, "page
@@ -103,7 +104,10 @@ def fix_spacing(text: Column) -> Column:
 
 
 def character_corrections(text: Column) -> Column:
-    return _chain(text, CHARACTERS)
+    out = _chain(text, CHARACTERS)
+    for wrong, right in PLAIN:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return out
 
 
 def word_corrections(text: Column) -> Column:
