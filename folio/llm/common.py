@@ -53,14 +53,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, path: str | None = None, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a shared Parquet table and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation
-    of what led here.
+    of what led here. The path is added to ``paths``, for whoever drops the table.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
