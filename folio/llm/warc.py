@@ -7,9 +7,11 @@ That writer ends each value with a separator: every record is followed by an
 empty gzip member, whose last byte is zero, and that byte is the separator.
 Files are thus plain multi-member ``.warc.gz`` data.
 
-The index holds file, offset, length, URL and digest of each record; reading
-sorts the selected index rows by file and offset, joins near ranges into one
-read, and splits the bytes again.
+The index holds file, offset, length, URL and digest of each record. It is made
+from the files themselves, which are gone through once after they are written, so
+it can't differ from them, and no other copy of the records is kept. Reading sorts
+the selected index rows by file and offset, joins near ranges into one read, and
+splits the bytes again.
 
 Defined results: a null html is an empty payload. Of rows with equal payloads of
 at least ``revisit_bytes`` bytes, the one with the smallest page_id is the
@@ -26,7 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_store, saved, scratch_path, slices
@@ -34,7 +36,10 @@ from .common import open_store, saved, scratch_path, slices
 DATE = "2024-01-01T00:00:00Z"
 #: An empty gzip member: header, empty deflate block, zero checksum and length.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-RECORD_SCHEMA = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, record binary"
+#: About how many times smaller pages become.
+SHRINKS = 3
+RECORD_SCHEMA = "page_id long, url string, payload_digest string, record binary"
+INDEX_SCHEMA = "shard int, offset long, length long, page_id long, url string, payload_digest string"
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -76,11 +81,15 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and block of one uncompressed record."""
     head, _, rest = data.partition(b"\r\n\r\n")
+    fields = header(head)
+    return fields, rest[: int(fields["Content-Length"])]
+
+
+def header(head: bytes) -> dict[str, str]:
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return dict(line.split(": ", 1) for line in lines[1:])
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +100,75 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gzip_member(make_record(p, u, d, r, (h or "").encode("utf-8", "surrogatepass"))) + EMPTY_MEMBER[:-1]
                 for p, u, d, r, h in zip(rows["page_id"], rows["url"], rows["payload_digest"], rows["refers_to"], rows["html"], strict=True)
             ]
-            columns = [batch.column(c) for c in ("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(made, pa.binary())],
-                names=["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "record"],
-            )
+            columns = [batch.column(c) for c in ("page_id", "url", "payload_digest")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=["page_id", "url", "payload_digest", "record"])
+
+
+def members(handle, chunk: int = 4 << 20, step: int = 1 << 15) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, header) of each record of an archive file, which is read once from its beginning."""
+    data, at, before = b"", 0, 0  # a piece of the file, the place in it, and the bytes ahead of it
+
+    def piece(most: int) -> bytes:
+        nonlocal data, at, before
+        if at >= len(data):
+            before += len(data)
+            data, at = handle.read(chunk), 0
+        out = data[at : at + most]
+        at += len(out)
+        return out
+
+    while True:
+        begin = before + at
+        unpacked = zlib.decompressobj(31)
+        head = b""
+        while not unpacked.eof:
+            some = piece(step)
+            if not some:
+                if before + at > begin:
+                    raise ValueError("an archive ends within a record")
+                return
+            out = unpacked.decompress(some)
+            if b"\r\n\r\n" not in head:
+                head += out
+        at -= len(unpacked.unused_data)
+        left = len(EMPTY_MEMBER)
+        while left:
+            some = piece(left)
+            if not some:
+                raise ValueError("an archive ends within a record")
+            left -= len(some)
+        yield begin, before + at - begin, head.partition(b"\r\n\r\n")[0]
+
+
+def scan_archive(spark: SparkSession, base: str, shards: int) -> DataFrame:
+    """The index of an archive, a task for each file."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = open_store(base)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                folder = fs.FileSelector(f"{root}/shard={shard}", allow_not_found=True)
+                for file in [f.path for f in store.get_file_info(folder) if f.base_name.startswith("part-")]:
+                    rows = []
+                    with store.open_input_file(file) as handle:
+                        for offset, length, head in members(handle):
+                            fields = header(head)
+                            page = int(fields["X-Page-Id"]) if fields.get("X-Page-Id") else None
+                            rows.append((shard, offset, length, page, fields["WARC-Target-URI"], fields["WARC-Payload-Digest"].removeprefix("sha256:")))
+                            if len(rows) >= 10_000:
+                                yield indexed(rows)
+                                rows = []
+                    if rows:
+                        yield indexed(rows)
+
+    def indexed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["shard", "offset", "length", "page_id", "url", "payload_digest"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return spark.range(0, shards, 1, int(min(shards, 20_000))).mapInArrow(scan, INDEX_SCHEMA)
 
 
 def write_archive(
@@ -103,7 +176,8 @@ def write_archive(
 ) -> DataFrame:
     """Write the archive below ``base`` and return its index.
 
-    The index has ``shard, offset, length, page_id, url, payload_digest``. The
+    The index has ``shard, offset, length, page_id, url, payload_digest``. A file
+    holds about ``shard_bytes``, by the pages' size and how much they shrink. The
     first page of each payload that repeats is broadcast only while there are
     at most ``small_rows`` of them (about 100 bytes each), else joined by a
     shuffle.
@@ -131,11 +205,9 @@ def write_archive(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first_page")).alias("refers_to"), "html",
     )
-    # Kept, as archive and index must come from the same bytes.
-    records = saved(typed.mapInArrow(_records, RECORD_SCHEMA), "warc-records")
-    total = records.agg(F.sum(F.length("record"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    keyed = records.withColumn("shard", F.pmod(F.xxhash64("page_id", "payload_digest", "url"), F.lit(shards)).cast("int"))
+    total = own.agg(F.sum("payload_bytes")).first()[0] or 0
+    shards = max(1, -(-total // (SHRINKS * shard_bytes)))
+    keyed = typed.mapInArrow(_records, RECORD_SCHEMA).withColumn("shard", F.pmod(F.xxhash64("page_id", "payload_digest", "url"), F.lit(shards)).cast("int"))
     order = ["shard", "page_id", "payload_digest", "url"]
     (
         keyed.select(*order, F.col("record").cast("string").alias("value"))
@@ -146,14 +218,7 @@ def write_archive(
         .option("lineSep", "\0")
         .text(base)
     )
-    length = F.length("record") + 1
-    ahead = Window.partitionBy("shard").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    index = (
-        keyed.select(*order, length.cast("long").alias("length"))
-        .withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
-        .select("shard", "offset", "length", "page_id", "url", "payload_digest")
-    )
-    return saved(index, "warc-index")
+    return saved(scan_archive(pages.sparkSession, base, shards), "warc-index")
 
 
 def read_records(index: DataFrame, base: str, gap: int = 1 << 16, most: int = 8 << 20, check: bool = True, task_bytes: int = 32 << 20) -> DataFrame:

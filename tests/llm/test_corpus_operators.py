@@ -67,6 +67,20 @@ def test_archive_files_are_plain_gzip(spark):
     assert b"".join(gzip.decompress(f.read_bytes()) for f in files).count(b"WARC/1.1\r\n") == 20
 
 
+@pytest.mark.parametrize(("chunk", "step"), [(7, 3), (64, 1000), (1 << 20, 1 << 15)])
+def test_records_are_found_in_any_pieces(chunk, step):
+    import io
+
+    made = [warc.gzip_member(warc.make_record(i or None, f"u{i}", "d" * 64, None, bytes(range(256)) * (40 * i))) + warc.EMPTY_MEMBER for i in range(4)]
+    found = list(warc.members(io.BytesIO(b"".join(made)), chunk, step))
+    assert [(o, n) for o, n, _ in found] == [(sum(map(len, made[:i])), len(made[i])) for i in range(4)]
+    assert [warc.header(h)["WARC-Target-URI"] for _, _, h in found] == ["u0", "u1", "u2", "u3"]
+    assert list(warc.members(io.BytesIO(b""), chunk, step)) == []
+    for cut in (40, 5):
+        with pytest.raises(ValueError, match="within a record"):
+            list(warc.members(io.BytesIO(made[1][:-cut]), chunk, step))
+
+
 # ------------------------------------------------------------- near duplicates
 
 
