@@ -286,7 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_corrections": rewritten(clean.word_corrections, broken),
     "character_corrections": rewritten(clean.character_corrections),
     "remove_noise": rewritten(clean.remove_noise),
-    "capitalize": rewritten(clean.capitalize_sentences),
+    "capitalize": rewritten(lambda text: clean.capitalize_sentences(text, one_letter=True)),  # as its SQL has it
     "normalize_unicode": rewritten(clean.normalize_unicode),
     "preprocess": rewritten(lambda text: clean.preprocess(text, True)),
     "sentences": on_documents(lambda docs: docs.select("doc_id", F.posexplode(clean.split_sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")),
