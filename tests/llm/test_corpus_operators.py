@@ -303,6 +303,30 @@ def test_search_skips_postings_and_loses_nothing():
     assert sum(s.walked for s in later) < 0.5 * sum(s.listed for s in later)
 
 
+def test_search_gathers_few_postings_of_frequent_words():
+    """More queries than go together, on two vocabularies: what is gathered one by one is the rare words' and a few candidates'."""
+    rng = np.random.default_rng(12)
+    shares = 1 / np.arange(1, 2_001)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.choice(2_000, 120, p=shares / shares.sum())) for i in range(2_000)]
+    rows = [top_k.packed([top_k.Piece.of(list(range(a, a + 1_000)), texts[a : a + 1_000])]) for a in (0, 1_000)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    number = {w: int(top_k.words([w])[0][0]) for w in df}
+    vocabulary = np.array(sorted(number.values()), np.uint64)
+    place = {w: int(np.searchsorted(vocabulary, np.uint64(n))) for w, n in number.items()}
+    idf = np.zeros(len(df))
+    for w, n in df.items():
+        idf[place[w]] = math.log(1 + (len(texts) - n + 0.5) / (n + 0.5))
+    asked = [np.unique([place[w] for w in set(t.split())]) for t in texts[::20]]
+    block = top_k.QueryBlock(0, np.arange(len(asked)), np.cumsum([0, *map(len, asked)]), np.concatenate(asked), vocabulary, idf, np.zeros((len(asked), 5)))
+    shards, found = [top_k.Shard([row], 120.0) for row in rows], {}
+    for shard in shards:
+        for q, d, s in zip(*(x.tolist() for x in shard.search(block, 5)), strict=True):
+            found.setdefault(q, []).append((round(-s, 7), int(shard.ids[shard.id_begin[d]])))
+    for q, best in search_slowly(list(enumerate(texts)), list(enumerate(texts[::20])), 5).items():
+        assert sorted(found[q])[:5] == [(pytest.approx(s, abs=2e-7), i) for s, i in best]
+    assert shards[1].gathered < 0.35 * shards[1].listed
+
+
 def test_search_of_many_copies_and_the_largest_id(spark):
     same = "alpha beta gamma"
     docs = [((1 << 63) - 1 - i, same) for i in range(40)] + [(None, same), (3, "alpha"), (4, "delta")]
